@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm import exact_dedup, source_mix
+from treeline.llm import byte_bpe, exact_dedup, language_id, source_mix
 from treeline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(table(spark, sf_dir, "documents"))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -22,7 +30,7 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op7_exact_dedup": op7_exact_dedup, "op8_source_mix": op8_source_mix}
+    return {f.__name__: f for f in (op2_language_id, op5_byte_bpe, op7_exact_dedup, op8_source_mix)}
 
 
 SQL_7 = r"""
