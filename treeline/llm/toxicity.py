@@ -224,7 +224,7 @@ def scored(docs: DataFrame, model: SubwordBag, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` with score and predicted."""
     small_batches(docs.sparkSession)
     of = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add("score", "double").add("predicted", "int")
+    schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
