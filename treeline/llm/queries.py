@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm import byte_bpe, exact_dedup, language_id, source_mix, toxicity
+from treeline.llm import byte_bpe, exact_dedup, language_id, pii, source_mix, toxicity
 from treeline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_language_id, op3_toxicity, op5_byte_bpe, op7_exact_dedup, op8_source_mix)}
+    return {f.__name__: f for f in (op2_language_id, op3_toxicity, op4_pii, op5_byte_bpe, op7_exact_dedup, op8_source_mix)}
 
 
 SQL_7 = r"""
