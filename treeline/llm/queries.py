@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm import byte_bpe, exact_dedup, language_id, pii, source_mix, toxicity
+from treeline.llm import byte_bpe, chat_format, exact_dedup, language_id, pii, source_mix, toxicity
 from treeline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.digests(chat_format.with_probe(table(spark, sf_dir, "conversations"))).drop("n_tokens")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_language_id, op3_toxicity, op4_pii, op5_byte_bpe, op7_exact_dedup, op8_source_mix)}
+    return {f.__name__: f for f in (op2_language_id, op3_toxicity, op4_pii, op5_byte_bpe, op6_chat_format, op7_exact_dedup, op8_source_mix)}
 
 
 SQL_7 = r"""
@@ -80,5 +84,23 @@ FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """
 
 
+SQL_6 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), m AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '\\|<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<s>|</s>|\[ROLE\]|\[SAYS\]|\[/ROLE\]'))
+            + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
+                   ELSE 19 + length(role) + len(regexp_extract_all(role, '\\|<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<s>|</s>|\[ROLE\]|\[SAYS\]|\[/ROLE\]')) END AS size
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+       sum(size)::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": SQL_7, "op8_source_mix": SQL_8}
+    return {"op6_chat_format": SQL_6, "op7_exact_dedup": SQL_7, "op8_source_mix": SQL_8}
