@@ -85,3 +85,20 @@ def pieces(texts: list, most: int) -> list[tuple[int, int]]:
     if start < len(texts):
         out.append((start, len(texts)))
     return out
+
+
+#: Groups that hold at least this share of all rows number at most 1/share: these few may be broadcast.
+HOT_SHARE = 1 / 500
+
+
+def joined_by_group(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` joined to the one row of ``groups`` for their ``key``; column ``size`` of it counts the key's rows.
+
+    The rows of hot groups, at most 1 / HOT_SHARE groups, meet a broadcast; no other key holds more than HOT_SHARE of all
+    rows, so the sort-merge join of the others has no hot task.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    least = max(2, int(total * HOT_SHARE) + 1)
+    hot = groups.filter(F.col(size) >= least)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.filter(F.col(size) < least), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)

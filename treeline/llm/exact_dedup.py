@@ -94,8 +94,9 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay, all their columns; of repeated rows one."""
-    small = exact_dedup(docs, index).filter("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
-    d = docs.withColumn("_sha_own", digest(text_or_empty()))
-    out = d.join(small, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_sha_own") == F.col("_sha")), "left_semi")
-    return out.dropDuplicates(["doc_id", "_sha_own"]).select(*docs.columns)
+    """The rows of ``docs`` that stay, all their columns; of repeated rows one.  Texts are shuffled once."""
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    stay = exact_dedup(docs, index).filter("kept").select(own.alias("_id"), F.col("text_sha256").alias("_sha"))
+    rows = docs.withColumn("_own_id", own).withColumn("_own_sha", digest(text_or_empty()))
+    out = rows.join(stay, (F.col("_own_id") == F.col("_id")) & (F.col("_own_sha") == F.col("_sha")), "left_semi")
+    return out.dropDuplicates(["_own_id", "_own_sha"]).select(*docs.columns)
