@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm import byte_bpe, chat_format, exact_dedup, jaccard, language_id, pii, source_mix, toxicity
+from treeline.llm import ann, byte_bpe, chat_format, exact_dedup, jaccard, language_id, pii, source_mix, toxicity
 from treeline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.searched(table(spark, sf_dir, "embeddings"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_language_id, op3_toxicity, op4_pii, op5_byte_bpe, op6_chat_format, op7_exact_dedup, op8_source_mix, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_ann_search, op2_language_id, op3_toxicity, op4_pii, op5_byte_bpe, op6_chat_format, op7_exact_dedup, op8_source_mix, op10_ngram_jaccard)}
 
 
 SQL_7 = r"""
