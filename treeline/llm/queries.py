@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm import ann, byte_bpe, chat_format, exact_dedup, jaccard, language_id, pii, source_mix, toxicity
+from treeline.llm import ann, byte_bpe, chat_format, exact_dedup, jaccard, language_id, lm, pii, source_mix, toxicity
 from treeline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,12 +45,16 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ann_search, op2_language_id, op3_toxicity, op4_pii, op5_byte_bpe, op6_chat_format, op7_exact_dedup, op8_source_mix, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_ann_search, op2_language_id, op3_toxicity, op4_pii, op5_byte_bpe, op6_chat_format, op7_exact_dedup, op8_source_mix, op9_lm_score, op10_ngram_jaccard)}
 
 
 SQL_7 = r"""
