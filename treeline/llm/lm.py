@@ -38,7 +38,7 @@ HEAD, CLASSES, MEMBERS, ROWS = 1 << 16, 64, 64, 1 << 13
 #: Documents in the sample that names the frequent words.
 SAMPLE_DOCS = 4_000
 #: Rounds of training, and the share of the training documents that they use together.
-ROUNDS, SHARE, RATE = 4, 1 / 8, 0.25
+ROUNDS, SHARE, RATE = 4, 1 / 8, 0.15
 START, END = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 STEP, FLUSH, RECORDS, CHUNK = 4 << 20, 1_000_000, 2_000_000, 1 << 13
 RECORD = np.dtype([("word", "<u8"), ("doc", "<u8"), ("n", "<u4"), ("train", "<u1")])
