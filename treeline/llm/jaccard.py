@@ -47,6 +47,9 @@ RECORDS, BLOCK, TOGETHER = 1_000_000, 1 << 12, 4096
 STEP, FLUSH = 4 << 20, 600_000
 
 RECORD = np.dtype([("key", "<u8"), ("sig", "<u8"), ("n", "<u4"), ("m", "<u2")])
+#: As sent for rare tokens: the part and 48 bits of the key tell tokens apart (those that clash make pairs that are then
+#: verified in vain), m only whether it is above 0.
+SENT = np.dtype([("key", "<u4"), ("more", "<u2"), ("sig", "<u8"), ("size", "<u4")])
 RARE, FREQUENT, DOCUMENT = 0, 1, 2
 
 
@@ -104,7 +107,7 @@ def counted(docs: DataFrame) -> Frequencies:
         def out() -> pa.RecordBatch:
             raw = np.minimum(own, 255).astype(np.uint8).reshape(-1, block)
             some = np.flatnonzero(raw.any(axis=1))
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([raw[i].tobytes() for i in some], pa.binary())], names=["block", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pa.compress(raw[i], "zstd", asbytes=True) for i in some], pa.binary())], names=["block", "counts"])
 
         for batch in batches:
             for _, tokens, _ in each_set(batch):
@@ -122,7 +125,7 @@ def counted(docs: DataFrame) -> Frequencies:
             for i, raw in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 if i not in sums:
                     sums[i] = np.zeros(block, np.uint32)
-                sums[i] += np.frombuffer(raw, np.uint8)
+                sums[i] += np.frombuffer(pa.decompress(raw, block, "zstd"), np.uint8)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(sums), pa.int32()), pa.array([levels(x).tobytes() for x in sums.values()], pa.binary())], names=["block", "counts"]
         )
@@ -191,18 +194,24 @@ def indexed(docs: DataFrame, of: Frequencies, size: float) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             part, kinds, blobs = [], [], []
-            for kind, some in held.items():
-                rows = np.concatenate([np.zeros(0, RECORD), *some])
+            for kind, made in held.items():
+                rows = np.concatenate([np.zeros(0, RECORD), *made])
                 if not len(rows):
                     continue
                 at = (mix(rows["key" if kind == RARE else "sig"]) & np.uint64(fine - 1)).astype(np.int64)
                 order = np.argsort(at, kind="stable")
                 rows, at = rows[order], at[order]
+                if kind == RARE:
+                    some = np.empty(len(rows), SENT)
+                    some["key"], some["more"], some["sig"] = rows["key"] & np.uint64(0xFFFFFFFF), rows["key"] >> np.uint64(48), rows["sig"]
+                    some["size"] = rows["n"] << 1 | (rows["m"] > 0)
+                    rows = some
                 edge = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
                 for i, j in zip(edge, np.append(edge[1:], len(at)), strict=True):
                     part.append(at[i])
                     kinds.append(kind)
                     blobs.append(rows[i:j].tobytes())
+            for some in held.values():
                 some.clear()
             return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "kind", "blob"])
 
@@ -234,11 +243,15 @@ def indexed(docs: DataFrame, of: Frequencies, size: float) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare: list[np.ndarray] = []
         for batch in batches:
-            for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
-                rows = np.frombuffer(blob.as_buffer(), RECORD)
+            for part, kind, blob in zip(batch.column("part").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
                 if kind == RARE:
+                    sent = np.frombuffer(blob.as_buffer(), SENT)
+                    rows = np.empty(len(sent), RECORD)
+                    rows["key"] = (np.uint64(part) << np.uint64(48)) | (sent["more"].astype(np.uint64) << np.uint64(32)) | sent["key"]
+                    rows["sig"], rows["n"], rows["m"] = sent["sig"], sent["size"] >> 1, sent["size"] & 1
                     rare.append(rows)
                 else:
+                    rows = np.frombuffer(blob.as_buffer(), RECORD)
                     yield table_of(kind, rows["key"], rows["sig"], rows["n"], rows["n"], rows["m"], np.ones(len(rows)))
         if rare:
             yield from rare_pairs(np.concatenate(rare))
@@ -288,9 +301,9 @@ def rare_pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def bloom(sigs: DataFrame) -> tuple[np.ndarray, int]:
-    """A bitmap of the signatures' hashes: so many bits that one in 16 others passes, 2**28 at most."""
+    """A bitmap of the signatures' hashes: so many bits that few others pass, 2**28 at most."""
     count = sigs.count()
-    bits = int(min(28, max(12, np.ceil(np.log2(16 * max(count, 1))))))
+    bits = int(min(28, max(12, np.ceil(np.log2(64 * max(count, 1))))))
     wide = 1 << min(bits, 15)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
