@@ -97,8 +97,10 @@ def joined_by_group(rows: DataFrame, groups: DataFrame, key: str, size: str) ->
     The rows of hot groups, at most 1 / HOT_SHARE groups, meet a broadcast; no other key holds more than HOT_SHARE of all
     rows, so the sort-merge join of the others has no hot task.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    least = max(2, int(total * HOT_SHARE) + 1)
+    total, most = groups.agg(F.sum(size), F.max(size)).first()
+    least = max(2, int((total or 0) * HOT_SHARE) + 1)
+    if (most or 0) < least:
+        return rows.join(groups, key)
     hot = groups.filter(F.col(size) >= least)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.filter(F.col(size) < least), key)
     return rows.join(F.broadcast(hot), key).unionByName(rest)

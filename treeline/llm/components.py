@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large-star and small-star rounds over DataFrames.
 
 Nothing is collected; each round is two aggregations and two joins, its result a written table.  Hubs are pre-aggregated
-before the shuffle, and joins on their rows are plain sort-merge joins that adaptive execution can split.
+before the shuffle, and their rows meet a small broadcast instead of one task.
 """
 
 from __future__ import annotations
@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.common import dropped, written
+from treeline.llm.common import dropped, joined_by_group, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Edges (u, v) in both directions, or with v < u only: the neighbours of each u, re-hung on the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select("u", F.least("u", "m").alias("m"))
-    hung = edges.join(least, "u")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
+    least = written(least.select("u", F.least("u", "m").alias("m"), "degree"), "least")
+    hung = joined_by_group(edges, least, "u", "degree")
     if large:
         return hung.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v")
