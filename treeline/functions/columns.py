@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,8 +37,6 @@ def first_known(*sources: str) -> Compute:
 
 def row_by_row(fn: Callable, kind: str, *sources: str) -> Compute:
     """A Python function over batches of values, for what Columns cannot say; it leaves the JVM (Arrow, pandas)."""
-    import pandas as pd
-
     def compute(have: dict[str, Column]) -> Column:
         @F.pandas_udf(kind)
         def run(*values: pd.Series) -> pd.Series:
