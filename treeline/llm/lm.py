@@ -42,6 +42,10 @@ ROUNDS, SHARE, RATE = 4, 1 / 8, 0.15
 START, END = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 STEP, FLUSH, RECORDS, CHUNK = 4 << 20, 1_000_000, 2_000_000, 1 << 13
 RECORD = np.dtype([("word", "<u8"), ("doc", "<u8"), ("n", "<u4"), ("train", "<u1")])
+#: What a partition of words hands back to a document; counters of the head that travel together.
+BACK = np.dtype([("doc", "<u8"), ("tail", "<f8"), ("known", "<u4")])
+BLOCK = 1 << 10
+HEADS, SIZES, BACKS = 0, 1, 2
 
 
 def word_pieces(data: np.ndarray, offsets: np.ndarray, most: int = STEP) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
@@ -135,6 +139,7 @@ def counted(docs: DataFrame, head: Head, words: float) -> tuple[DataFrame, int,
     shared = spark.sparkContext.broadcast(head)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(words / 4 / RECORDS) + 1)
     fine = 1 << int(np.ceil(np.log2(16 * parts)))
+    backs = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(words / 30_000_000) + 1)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, held, size = shared.value.table, [], 0
@@ -173,46 +178,62 @@ def counted(docs: DataFrame, head: Head, words: float) -> tuple[DataFrame, int,
                 size = 0
         if size:
             yield flush()
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["part", "blob"])
+        blocks = range(0, len(own), BLOCK)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([-1 - i for i in range(len(blocks))], pa.int32()), pa.array([own[i : i + BLOCK].tobytes() for i in blocks], pa.binary())], names=["part", "blob"]
+        )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, head_counts = [], None
+        held, heads = [], {}
         for batch in batches:
             for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob"), strict=True):
                 if part < 0:
-                    got = np.frombuffer(blob.as_buffer(), np.int64)
-                    head_counts = got.copy() if head_counts is None else head_counts + got
+                    heads[part] = heads.get(part, 0) + np.frombuffer(blob.as_buffer(), np.int64)
                 else:
                     held.append(np.frombuffer(blob.as_buffer(), RECORD))
-        if head_counts is not None:
-            yield made(-1, np.zeros(1, np.uint64), np.zeros(1), np.zeros(1), head_counts.tobytes())
+        for part, counts in heads.items():
+            yield made(HEADS, [part], [counts.tobytes()])
         if not held:
             return
         rows = np.concatenate(held)
+        held.clear()
         _, word = np.unique(rows["word"], return_inverse=True)
         count = np.bincount(word, rows["n"] * rows["train"]).astype(np.int64)
-        yield made(-2, np.zeros(1, np.uint64), np.array([float(count.sum())]), np.array([(count > 0).sum()]), b"")
+        yield made(SIZES, [0], [np.array([count.sum(), (count > 0).sum()]).tobytes()])
         doc, of = np.unique(rows["doc"], return_inverse=True)
-        tail = np.bincount(of, rows["n"] * np.log10(count[word] + 1.0))
-        known = np.bincount(of, rows["n"] * (count[word] > 0))
-        for i in range(0, len(doc), 50_000):
-            s = slice(i, i + 50_000)
-            yield made(0, doc[s], tail[s], known[s], b"")
-
-    def made(kind: int, doc: np.ndarray, tail: np.ndarray, known: np.ndarray, raw: bytes) -> pa.RecordBatch:
-        count = len(doc)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([kind] * count, pa.int32()), pa.array(doc.view(np.int64)), pa.array(tail.astype(float)), pa.array(known.astype(np.int64)), pa.array([raw] * count, pa.binary())],
-            names=["kind", "doc", "tail", "known", "raw"],
-        )
+        back = np.empty(len(doc), BACK)
+        back["doc"], back["known"] = doc, np.bincount(of, rows["n"] * (count[word] > 0))
+        back["tail"] = np.bincount(of, rows["n"] * np.log10(count[word] + 1.0))
+        at = (mix(doc) % np.uint64(backs)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        back, at = back[order], at[order]
+        edge = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        ends = np.append(edge[1:], len(at))
+        for i in range(0, len(edge), 256):
+            s = slice(i, i + 256)
+            yield made(BACKS, at[edge[s]].tolist(), [back[x:y].tobytes() for x, y in zip(edge[s], ends[s], strict=True)])
+
+    def made(kind: int, part: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(part), pa.int32()), pa.array(part, pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "part", "blob"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.frombuffer(blob.as_buffer(), BACK) for batch in batches for blob in batch.column("blob")]
+        if held:
+            rows = np.concatenate(held)
+            doc, of = np.unique(rows["doc"], return_inverse=True)
+            sums = [np.bincount(of, rows[c]) for c in ("tail", "known")]
+            for i in range(0, len(doc), 50_000):
+                s = slice(i, i + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[s].view(np.int64)), *[pa.array(x[s]) for x in sums]], names=["doc", "tail", "tail_known"])
 
     blobs = docs.select("_doc", "held_out", "_text").mapInArrow(emit, "part int, blob binary")
-    table = written(blobs.repartition(parts, "part").mapInArrow(meet, "kind int, doc long, tail double, known long, raw binary"), "words")
-    for r in table.filter("kind = -1").select("raw").collect():
-        head.counts = np.frombuffer(r["raw"], np.int64).copy()
-    rare = table.filter("kind = -2").agg(F.sum("tail"), F.sum("known")).first()
-    rare_n, rare_v = int(rare[0] or 0), int(rare[1] or 0)
-    sums = table.filter("kind = 0").groupBy("doc").agg(F.sum("tail").alias("tail"), F.sum("known").alias("tail_known"))
+    table = written(blobs.repartition(parts, "part").mapInArrow(meet, "kind int, part int, blob binary"), "words")
+    for r in table.filter(F.col("kind") == HEADS).collect():
+        i = (-1 - r["part"]) * BLOCK
+        head.counts[i : i + BLOCK] = np.frombuffer(r["blob"], np.int64)
+    rare = [np.frombuffer(r["blob"], np.int64) for r in table.filter(F.col("kind") == SIZES).collect()]  # a row for each partition
+    rare_n, rare_v = (int(x) for x in np.sum(rare, axis=0)) if rare else (0, 0)
+    sums = table.filter(F.col("kind") == BACKS).select("part", "blob").repartition(backs, "part").mapInArrow(gather, "doc long, tail double, tail_known double")
     return sums, rare_n + int(head.counts.sum()), rare_v + int((head.counts > 0).sum()), rare_n, rare_v
 
 
