@@ -1,0 +1,564 @@
+"""The document operators against plain Python, with every odd case their docstrings define."""
+
+import collections
+import hashlib
+import math
+import os
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from treeline.llm import byte_bpe, exact_dedup, jaccard, language_id, lm, pii, source_mix, toxicity
+from treeline.llm.arrays import KeyTable, byte_column, spans_of_bytes
+from treeline.llm.common import fold
+from treeline.llm.components import components
+from treeline.llm.shingles import shingle_sets, word_hashes
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, size long, c0 string, keep long, own string, sig long"
+LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+SPACE = "[\x20\x09-\x0d]+"
+WORD = "[^\x20\x09-\x0d]+"
+
+
+def table(spark, rows):
+    """Documents (doc_id, text, lang, source) with further columns whose names the operators use themselves."""
+    return spark.createDataFrame([(*r, -1, -1.0, None, -7, "c", 5, "o", 3) for r in rows], SCHEMA)
+
+
+def odd(seed=1, count=60):
+    """Documents with nulls, empty and blank texts, copies, near copies, repeated rows, a long text."""
+    rnd = random.Random(seed)
+    vocabulary = ["the", "of", "and", "Haus", "le", "été", "xyz", "ñandú", "a", "b1"] + [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(count):
+        rows.append((i, " ".join(rnd.choices(vocabulary, k=rnd.randint(1, 60))), rnd.choice(["en", "de", None]), rnd.choice(["s1", "s2", "s2", "s2", None])))
+    rows += [(100, None, "en", "s1"), (101, "", "en", "s1"), (102, " \t\n", None, "s3"), (103, "\x0b \x0c", "de", None), (104, rows[3][1].replace(" ", "\n\t"), "en", "s1")]
+    rows += [(105, rows[3][1].upper(), "en", "s2"), (106, rows[4][1] + " more", "en", "s2"), (107, "123 !!", "en", "s2"), rows[5], rows[5], (None, "null id here", "en", "s1"), (None, rows[6][1], "en", "s1")]
+    rows += [(108, " ".join(rnd.choices(vocabulary, k=30_000)), "de", "s2"), (109, "x" * 70_000, "de", "s2"), (110, "é\U0001f642 one", "en", "s4")]
+    return rows
+
+
+def rows_of(df):
+    return [tuple(r) for r in df.collect()]
+
+
+# -- shared parts
+
+
+def test_byte_columns_and_work():
+    column = pa.array(["aé", None, "", "xyz"])
+    data, at = byte_column(column.slice(1))
+    assert bytes(data) == b"xyz" and at.tolist() == [0, 0, 0, 3]
+    assert byte_column(pa.array([], pa.string()))[1].tolist() == [0]
+    for lengths in ([0, 5, 0, 0, 30, 1, 0], [0], [9], [3, 3, 3]):
+        at = np.concatenate([[0], np.cumsum(lengths)])
+        got = list(spans_of_bytes(at, 7))
+        assert sum(e - b for _, _, b, e in got) == at[-1] and all(e - b <= 7 for _, _, b, e in got)
+        assert {i for f, to, _, _ in got for i in range(f, to)} == set(range(len(lengths)))
+
+
+def test_key_table():
+    rnd = np.random.default_rng(0)
+    keys = np.unique(rnd.integers(0, 1 << 63, 5000).astype(np.uint64))
+    t = KeyTable(keys)
+    assert (t.find(keys) == np.arange(len(keys))).all() and (t.find(keys[:50] + np.uint64(1)) == -1).all()
+    assert KeyTable(np.zeros(0, np.uint64)).find(keys).max() == -1
+
+
+def words_of(text):
+    return re.findall(WORD, (text or "").translate(LOWER))
+
+
+def set_of(text):
+    w = words_of(text)
+    return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_words_and_shingles():
+    texts = [r[1] for r in odd()] + ["A b", "a B", "a b ", "é é é é é é", "a b c d e", "a b c d E F"]
+    data, at = byte_column(pa.array(texts))
+    hashes, first = word_hashes(data, at)
+    names = {}
+    for i, t in enumerate(texts):
+        for w, h in zip(words_of(t), hashes[first[i] : first[i + 1]], strict=True):
+            assert names.setdefault(w, h) == h
+    assert len(set(map(int, names.values()))) == len(names)
+    tokens, bounds = shingle_sets(data, at)
+    sets = [set_of(t) for t in texts]
+    hashed = [set(tokens[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    for i, j in [(i, j) for i in range(len(texts)) for j in range(i, len(texts))]:
+        assert len(hashed[i] & hashed[j]) == len(sets[i] & sets[j])
+
+
+def test_components(spark):
+    rnd = random.Random(3)
+    edges = [(rnd.randint(0, 200), rnd.randint(0, 200)) for _ in range(90)] + [(7, i) for i in range(300, 400)] + [(i, i + 1) for i in range(500, 560)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    want = {x: root(x) for x in list(up) if root(x) != x}
+    assert dict(rows_of(components(spark.createDataFrame(edges, "a long, b long")))) == want
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_folds(spark):
+    ids = [0, 1, 2, 33, None]
+    got = rows_of(spark.createDataFrame([(i,) for i in ids], "doc_id long").select(fold(4)))
+    assert [g[0] for g in got] == [zlib.crc32(b"" if i is None else str(i).encode()) % 4 for i in ids]
+
+
+# -- exact dedup
+
+
+def normal(text):
+    return re.sub(SPACE, " ", text or "")
+
+
+def brute_groups(rows):
+    groups = collections.defaultdict(list)
+    for i, text, *_ in rows:
+        groups[normal(text)].append(i)
+    return groups
+
+
+def test_exact_dedup(spark):
+    rows = odd()
+    groups = brute_groups(rows)
+    got = rows_of(exact_dedup.exact_dedup(table(spark, rows)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256"))
+    want = set()
+    for text, ids in groups.items():
+        keep = min((i for i in ids if i is not None), default=None)
+        want |= {(i, keep, len(ids), i == keep, hashlib.sha256(text.encode()).hexdigest()) for i in ids}
+    assert len(got) == len(want) and set(got) == want
+    kept = exact_dedup.kept_rows(table(spark, rows))
+    assert kept.columns == table(spark, rows).columns and collections.Counter(normal(r["text"]) for r in kept.collect()) == dict.fromkeys(groups, 1)
+    assert all(r["size"] == -7 and r["own"] == "o" for r in kept.collect())
+
+
+def test_exact_dedup_hot_group(spark):
+    rows = [(i, "same  text" if i % 3 else f"text {i}", "en", "s") for i in range(3000)]
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(table(spark, rows)).collect()}
+    assert len(got) == 3000 and all(got[i] == ((1, 2000) if i % 3 else (i, 1)) for i in range(3000))
+
+
+def test_digest_index_grows(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, "digests_growing", 4, str(tmp_path / "index"))
+    first = exact_dedup.exact_dedup(table(spark, [(5, "a  b", "en", "s"), (6, "c", "en", "s")]), index)
+    assert sorted(rows_of(first.select("doc_id", "keep_id", "kept"))) == [(5, 5, True), (6, 6, True)]
+    again = exact_dedup.DigestIndex(spark, "digests_growing")
+    second = exact_dedup.exact_dedup(table(spark, [(1, "a b", "en", "s"), (7, "d", "en", "s"), (8, "d", "en", "s")]), again)
+    assert sorted(rows_of(second.select("doc_id", "keep_id", "kept"))) == [(1, 5, False), (7, 7, True), (8, 7, False)]
+    assert again.rows().count() == 3
+    exact_dedup.exact_dedup(table(spark, []), again)
+    assert again.rows().count() == 3
+
+
+# -- mixing
+
+
+def brute_targets(sizes):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: 1 + i % 3 for i, s in enumerate(order)}
+    total, open_, target = float(sum(sizes.values())), set(order), {}
+    while open_:
+        level = (total - sum(target.values())) / sum(weight[s] for s in open_)
+        over = [s for s in open_ if level * weight[s] > 3 * sizes[s] + 1e-9]
+        if not over:
+            return target | {s: level * weight[s] for s in open_}
+        for s in over:
+            target[s] = 3.0 * sizes[s]
+            open_.discard(s)
+    return target
+
+
+def test_mix(spark):
+    rows = odd()
+    sizes = collections.Counter()
+    for _, text, _, source in rows:
+        sizes[source] += len(re.findall(WORD, text or ""))
+    want = brute_targets(sizes)
+    got = source_mix.mixed(table(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["source_size"] == sizes[r["source"]] and math.isclose(r["target"], want[r["source"]], abs_tol=1e-6)
+        assert r["taken"] == r["size"] * r["copies"] and r["copies"] in (math.floor(r["rate"]), math.floor(r["rate"]) + 1) and r["copies"] <= 3
+    again = source_mix.mixed(table(spark, rows).repartition(3)).collect()
+    assert sorted(got, key=str) == sorted(again, key=str)
+    emitted = collections.Counter((r["doc_id"], r["text"]) for r in source_mix.emitted(table(spark, rows)).collect())
+    copies = collections.Counter()
+    texts = {i: t for i, t, *_ in rows}
+    for r in got:
+        if r["doc_id"] is not None:
+            copies[(r["doc_id"], texts[r["doc_id"]])] += r["copies"]
+    assert {k: v for k, v in emitted.items() if k[0] is not None} == {k: v for k, v in copies.items() if v}
+
+
+def test_mix_comes_near_its_targets(spark):
+    rows = [(i, "w " * (1 + i % 17), "en", f"s{i % 7 if i % 2 else 0}") for i in range(7000)]
+    got = source_mix.mixed(table(spark, rows)).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    assert all(abs(r["sum(taken)"] / r["max(target)"] - 1) < 0.08 for r in got)
+
+
+# -- near duplicates
+
+
+def brute_components(rows, near=75):
+    sets = [set_of(t) for _, t, *_ in rows]
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= near * (len(sets[i]) + len(sets[j]) - both):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    members = collections.defaultdict(list)
+    for i in range(len(rows)):
+        members[root(i)].append(rows[i][0])
+    return [(rows[i][0], len(sets[i]), min((x for x in members[root(i)] if x is not None), default=None)) for i in range(len(rows))]
+
+
+def chains(seed, count=160):
+    """Texts whose similarities lie around the threshold: copies with some words changed, passages that many share."""
+    rnd = random.Random(seed)
+    word = lambda: f"w{rnd.randint(0, 3000)}"
+    passages = [[word() for _ in range(rnd.randint(20, 60))] for _ in range(3)]
+    texts = [[word() for _ in range(rnd.randint(3, 120))] for _ in range(20)]
+    while len(texts) < count:
+        t = list(rnd.choice(texts))
+        kind = rnd.random()
+        if kind < 0.6:
+            for _ in range(rnd.randint(0, 1 + len(t) // 25)):
+                t[rnd.randrange(len(t))] = word()
+        elif kind < 0.8:
+            at = rnd.randrange(len(t) + 1)
+            t[at:at] = rnd.choice(passages)
+        else:
+            t = rnd.choice(passages) + [word() for _ in range(rnd.randint(0, 20))]
+        texts.append(t)
+    return [(i, " ".join(t), "en", "s") for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("rows", [odd(2), chains(1), chains(2), [], [(1, None, "en", "s")], [(1, "a b", "en", "s"), (2, "A B", "en", "s"), (0, "a", "en", "s")]])
+def test_near_duplicates(spark, rows):
+    key = lambda r: tuple((x is None, x) for x in r)
+    got = jaccard.near_duplicates(table(spark, rows))
+    assert sorted(rows_of(got), key=key) == sorted(brute_components(rows), key=key)
+
+
+def test_near_duplicates_when_all_tokens_are_frequent(spark, monkeypatch):
+    rows = chains(5)
+    monkeypatch.setattr(jaccard.Frequencies, "__init__", lambda self, level: self.__dict__.update(level=level, shift=np.uint64(64 - int(len(level)).bit_length() + 1), rare=int(jaccard.levels(np.array([2.5]))[0])))
+    monkeypatch.setattr(jaccard, "TOGETHER", 40)
+    assert sorted(rows_of(jaccard.near_duplicates(table(spark, rows)))) == sorted(brute_components(rows))
+
+
+def test_cluster_links():
+    rnd = np.random.default_rng(2)
+    base = np.unique(rnd.integers(0, 1 << 60, 200).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base[rnd.random(len(base)) < 0.95], rnd.integers(0, 1 << 60, rnd.integers(0, 30)).astype(np.uint64)])) for _ in range(60)]
+    links = {(i, j) for i in range(60) for j in range(60) if i != j and jaccard.linked(len(sets[i]), len(sets[j]), len(np.intersect1d(sets[i], sets[j])))}
+
+    def parts(edges):
+        forest = jaccard.Forest(60)
+        for a, b in edges:
+            forest.up[max(forest.root(a), forest.root(b))] = min(forest.root(a), forest.root(b))
+        return forest.roots().tolist()
+
+    got = jaccard.cluster_links(sets, np.arange(60))
+    assert set(got) <= links and parts(got) == parts(links)
+
+
+# -- byte-level BPE
+
+
+@pytest.fixture(scope="module")
+def coder():
+    import public_tokenizers
+
+    with open(public_tokenizers.path(byte_bpe.VOCABULARY), "rb") as f:
+        return byte_bpe.ByteBPE(f.read(), public_tokenizers.PATTERN)
+
+
+def test_chunks_stitch(coder):
+    rnd = random.Random(1)
+    parts = ["a", "b", " ", "  ", "'s", "'", "re", "\n", "\t", "1", "23", "é", "ß", ".", "!!", "　", "日本", " x", "ll", "'v", "e", "<|endoftext|>"]
+    for _ in range(1500):
+        text = "".join(rnd.choices(parts, weights=rnd.choices([0.05, 1, 5], k=len(parts)), k=rnd.randint(0, 200)))
+        for chunk, overlap in ((16, 9), (20, 12), (40, 10), (64, 20)):
+            ids = coder.encode(text, chunk, overlap)
+            assert ids == coder.core.encode_ordinary(text) and coder.decode(ids) == text.encode()
+
+
+@pytest.mark.parametrize("text", ["", "a" * 120_000, " " * 70_000 + "b" + "\n" * 70_000, "é " * 40_000, "ab1 " * 30_000])
+def test_long_texts(coder, text):
+    assert coder.encode(text) == coder.core.encode_ordinary(text)
+
+
+def test_bpe_tables(spark, coder):
+    rows = odd(3)
+    docs = table(spark, rows)
+    got = byte_bpe.digests(docs).collect()
+    want = collections.Counter()
+    for i, text, *_ in rows:
+        ids = coder.core.encode_ordinary(text or "")
+        want[(i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())] += 1
+    assert collections.Counter(map(tuple, got)) == want
+    back = byte_bpe.decoded(byte_bpe.encoded(docs))
+    assert collections.Counter((r["doc_id"], r["text"]) for r in back.collect()) == collections.Counter((i, t or "") for i, t, *_ in rows)
+    assert byte_bpe.digests(table(spark, [])).count() == 0
+
+
+# -- language ID
+
+
+def test_code_lengths_by_hand():
+    samples = {"aa": ["abracadabra", "abab"], "bb": ["bcbcbc", "é"]}
+    trees = language_id.ContextTrees(samples, 2)
+
+    def cost(lang, text):
+        counts = [collections.defaultdict(collections.Counter) for _ in range(3)]
+        for t in samples[lang]:
+            raw = b"\0\0" + t.encode()
+            for i in range(2, len(raw)):
+                for k in range(3):
+                    counts[k][raw[i - k : i]][raw[i]] += 1
+        raw, bits = b"\0\0" + text.encode(), 0.0
+        for i in range(2, len(raw)):
+            for k in (2, 1, 0, -1):
+                if k < 0:
+                    bits += 8
+                    break
+                seen = counts[k].get(raw[i - k : i])
+                if seen is None:
+                    continue
+                t, d = sum(seen.values()), len(seen)
+                if raw[i] in seen:
+                    bits += math.log2((t + d) / seen[raw[i]])
+                    break
+                bits += math.log2((t + d) / d)
+        return bits
+
+    for text in ("abra", "bcé", "xyz", "a", "cab" * 9, ""):
+        data, at = byte_column(pa.array([text]))
+        got = trees.lengths(data, at)[0] / language_id.UNIT
+        assert np.allclose(got, [cost("aa", text), cost("bb", text)], atol=1e-2)
+
+
+def test_cutting_changes_no_code_length(monkeypatch):
+    trees = language_id.ContextTrees({"a": ["some words of a language"], "b": ["autres mots du tout"]})
+    data, at = byte_column(pa.array(["some autres words " * 20, "", "du tout", "mots of a " * 50]))
+    want = trees.lengths(data, at)
+    monkeypatch.setattr(language_id, "STEP", 37)
+    assert (trees.lengths(data, at) == want).all()
+
+
+def test_language_id_odd_cases(spark):
+    rows = odd(4)
+    got = {(r["doc_id"], r["held_out"]): r for r in language_id.identified(table(spark, rows)).collect()}
+    for i, text, *_ in rows:
+        r = got[(i, zlib.crc32(b"" if i is None else str(i).encode()) % 4 == 2)]
+        if not any(c.isalpha() for c in text or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        elif i is not None:
+            assert r["lang_pred"] in ("en", "de") and 0 < r["score"] <= 1
+    assert language_id.identified(table(spark, [])).count() == 0
+    nothing = language_id.identified(table(spark, [(1, "words", None, "s")])).collect()
+    assert nothing[0]["lang_pred"] == "und"
+    kept = language_id.accepted(table(spark, rows), 0.0)
+    assert kept.columns == table(spark, rows).columns and sorted(r["text"] for r in kept.collect()) == sorted(t for _, t, *_ in rows if any(c.isalpha() for c in t or ""))
+    assert language_id.accepted(table(spark, [(1, "words", None, "s"), (2, "12", None, "s")])).count() == 1
+
+
+# -- toxicity
+
+
+def test_toxicity_learns_and_generalises():
+    rnd = random.Random(2)
+    words = [f"{a}{b}{c}" for a in ("ba", "co", "di", "fu") for b in ("ral", "men", "tos", "pin") for c in ("ar", "el", "io", "un")]
+    make = lambda bad: " ".join(rnd.choices(words, k=40) + ([rnd.choice(["idiot", "moronic", "worthless"])] if bad else []))
+    labels = np.array([i % 2 for i in range(400)])
+    model = toxicity.trained([make(y) for y in labels], labels)
+    score = lambda texts: model.score(*toxicity.joined(texts))
+    assert (score([make(True) for _ in range(50)]) >= 0.7).mean() > 0.9 and (score([make(False) for _ in range(50)]) >= 0.7).mean() < 0.1
+    clean = make(False)
+    assert score([clean + " idiots", clean + " IDIOT!", clean])[:2].min() > score([clean])[0]
+    long = " ".join(make(False) for _ in range(20))
+    assert score([long + " idiot " + long])[0] > score([long])[0]
+
+
+def test_toxicity_odd_cases(spark, monkeypatch):
+    rows = odd(5)
+    labels = spark.createDataFrame([(i, 1, i % 2, "x") for i in range(60)] + [(None, 1, 1, "x"), (3, 1, None, "x"), (4, 0, 1, "x")], "doc_id long, quality int, toxic int, text string")
+    got = toxicity.toxicity(table(spark, rows), labels).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got)
+    blank = {r["score"] for r in got if r["doc_id"] in (100, 101, 102, 103)}
+    assert len(blank) == 1
+    assert toxicity.toxicity(table(spark, []), labels).count() == 0
+    none = toxicity.toxicity(table(spark, rows), labels.filter("toxic = 0")).collect()
+    assert all(r["score"] < 1e-6 for r in none)
+
+
+def test_cutting_finds_the_same_windows(monkeypatch):
+    model = toxicity.SubwordBag(np.random.default_rng(0).normal(0, 1, toxicity.BUCKETS).astype(np.float32), -0.5, 1.0, 0.0)
+    texts = ["some words here and there " * 30, "", "one", "Ä Ö word"]
+    want = model.greatest(*toxicity.joined(texts))
+    monkeypatch.setattr(toxicity, "STEP", 300)
+    assert np.allclose(model.greatest(*toxicity.joined(texts)), want, atol=0.3) and (model.greatest(*toxicity.joined(texts)) >= want - 1e-9).all()
+
+
+# -- personal data
+
+
+def brute_spans(text):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m[0])
+        if 13 <= len(d) <= 19 and sum(int(x) if i % 2 == 0 else sum(divmod(2 * int(x), 10)) for i, x in enumerate(reversed(d))) % 10 == 0:
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return out
+
+
+def test_base_patterns():
+    rnd = random.Random(6)
+    parts = ["1", "22", "255", ".", "-", " ", "+", "(", ")", "@", "a", "b.c", "%", "4111111111111111", "0", "00", "é", "٣", "256", "+1 (212) 555-0199", "x@y.z"]
+    for _ in range(20_000):
+        text = "".join(rnd.choices(parts, k=rnd.randint(0, 25)))
+        assert pii.base_spans(text) == brute_spans(text), text
+    for text in ("1" * 50_000, "1." * 30_000, "a" * 50_000 + "@", "+1" * 30_000, "a@" * 30_000, "@a" * 30_000, "1 " * 30_000):
+        assert len(pii.base_spans(text)) == (7500 if text.startswith("1.") else 0)  # at once; the plain patterns take minutes
+
+
+def test_field_adds_what_the_patterns_miss():
+    field = pii.trained(["Some ordinary words in a sample of text, nothing else."])
+
+    def added(text):
+        base, spans = field.spans(text)
+        assert set(base) <= set(spans)
+        return [(k, text[a:b]) for k, a, b in spans if (k, a, b) not in base]
+
+    assert added("please call (212) 555-0199 today") == [("phone", "(212) 555-0199")]
+    assert added("write to some.one [at] host.example.com soon") == [("email", "some.one [at] host.example.com")]
+    assert added("paid by 4111.1111.1111.1111 then") == [("card", "4111.1111.1111.1111")]
+    assert added("on 2024-01-30 version 4.0 of 12,345,678 copies") == []
+    both = "+1 (269) 555-3296 4524132264652876 end"
+    assert field.spans(both)[0] == [] and {k for k, _ in added(both)} == {"phone", "card"}
+
+
+def test_held_out_examples():
+    field, rnd = pii.trained(["plain words of some text"]), random.Random(77)
+    hit = found = there = 0
+    for _ in range(300):
+        text, want = pii.example(rnd, ["alpha", "beta", "gamma"])
+        got = set(field.spans(text)[1])
+        hit, found, there = hit + len(got & set(want)), found + len(got), there + len(want)
+    assert hit / there > 0.93 and hit / found > 0.85
+
+
+def test_pii_tables(spark):
+    rows = odd(7) + [(200, "mail a.b@c.de, 10.0.0.1 und +49 (30) 1234567; 4111 1111 1111 1111", "de", "s")]
+    got = {(r["doc_id"], r["base_sha256"]): r for r in pii.found(table(spark, rows)).collect()}
+    for i, text, *_ in rows:
+        base = brute_spans(text or "")
+        r = got[(i, hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest())]
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x[0] == k for x in base) for k in pii.KINDS]
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r["spans"].split(","))
+    assert pii.found(table(spark, [])).count() == 0
+
+
+# -- language-model scores
+
+
+def brute_base(rows):
+    tokens = [[*words_of(t), None] for _, t, *_ in rows]
+    held = [zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2 for i, *_ in rows]
+    counts = collections.Counter(x for t, h in zip(tokens, held, strict=True) if not h for x in t)
+    total, distinct = sum(counts.values()), len(counts)
+    out = []
+    for (i, *_), t, h in zip(rows, tokens, held, strict=True):
+        base = sum(math.log10((counts[x] + 1) / (total + distinct + 1)) for x in t)
+        out.append((i, h, len(t), sum(counts[x] > 0 for x in t), total, base))
+    return out
+
+
+@pytest.mark.parametrize("rows", [odd(8), [(1, "a b a", "en", "s"), (2, None, "en", "s")], [(3, "a", "en", "s")], []])
+def test_lm_base(spark, rows, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", 20)
+    monkeypatch.setattr(lm, "STEP", 5000)
+    key = lambda r: str(r[:5])
+    got, want = sorted(rows_of(lm.scored(table(spark, rows))), key=key), sorted(brute_base(rows), key=key)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert np.allclose([g[5] for g in got], [w[5] for w in want], rtol=1e-9) and all(g[6] <= 0 for g in got)
+
+
+def test_lm_is_a_distribution():
+    rnd = np.random.default_rng(1)
+    words = np.unique(rnd.integers(1, 1 << 60, 300).astype(np.uint64))
+    head = lm.Head(words)
+    head.counts = rnd.integers(1, 50, len(head.table.keys))
+    model = lm.MaxEnt(head, 10)
+    before = [np.full(len(head.table.keys), w) for w in (lm.START, words[3], words[5])]
+    random_weights = lambda x: rnd.normal(0, 0.3, x.shape).astype(np.float32)
+    model.classes, model.members = random_weights(model.classes), random_weights(model.members)
+    token = np.append(head.table.keys, np.uint64(12345))
+    got, rare = model.log_probability(token, [np.append(b, b[0]) for b in before])
+    assert rare.tolist() == [False] * len(head.table.keys) + [True] and math.isclose(np.exp(got).sum(), 1.0, rel_tol=1e-3)
+
+
+def test_training_beats_the_base():
+    rnd = random.Random(1)
+    follow = {w: [f"n{rnd.randint(0, 40)}" for _ in range(2)] for w in [f"n{i}" for i in range(41)]}
+
+    def text():
+        out = ["n0"]
+        for _ in range(60):
+            out.append(rnd.choice(follow[out[-1]]))
+        return " ".join(out)
+
+    data, at = byte_column(pa.array([text() for _ in range(300)]))
+    words, first = word_hashes(data, at)
+    head = lm.Head(np.unique(words))
+    _, counts = np.unique(np.append(words, np.full(300, lm.END)), return_counts=True)
+    head.counts = counts
+    model = lm.MaxEnt(head, 0)
+    _, token, before = lm.Stream().tokens(words, first, True)
+    start = model.log_probability(token, before)[0].mean()
+    model.learn(token, before, [np.full(lm.ROWS, 1.0, np.float32) for _ in range(2)])
+    assert model.log_probability(token, before)[0].mean() > start + 0.5
+
+
+def test_streams_of_cut_rows():
+    texts = ["a b c d e f g", "", "h i"]
+    data, at = byte_column(pa.array(texts))
+    whole, cut = lm.Stream(), lm.Stream()
+    want = [whole.tokens(w, b, over) for _, _, w, b, over in lm.word_pieces(data, at)]
+    parts = [cut.tokens(w, b, over) for _, _, w, b, over in lm.word_pieces(data, at, 5)]
+    assert np.array_equal(np.concatenate([p[1] for p in parts]), np.concatenate([p[1] for p in want]))
+    for k in range(3):
+        assert np.array_equal(np.concatenate([p[2][k] for p in parts]), np.concatenate([p[2][k] for p in want]))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language_id.identified(docs).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    assert (got.lang_pred == got.lang).mean() > 0.95
+    scores = lm.scored(docs).filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert scores["sum(score)"] > scores["sum(base_score)"]

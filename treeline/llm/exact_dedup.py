@@ -19,10 +19,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm.common import SPACES, long_id, text_or_empty, written
-
-#: Groups that hold at least this share of all rows number at most 1/share: these few are broadcast, all others merged.
-HOT_SHARE = 1 / 500
+from treeline.llm.common import SPACES, fresh, joined_by_group, long_id, text_or_empty, written
 
 
 def digest(text: Column) -> Column:
@@ -62,7 +59,6 @@ class DigestIndex:
         A text that an earlier batch brought keeps that batch's keep_id, and no row of this batch is kept for it.
         """
         slim = written(docs.select(long_id(docs).alias("doc_id"), digest(text_or_empty()).alias("digest")), "digests")
-        total = slim.count()
         one = slim.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n"))
         per = one.groupBy("digest").agg(F.min("doc_id").alias("own_id"), F.sum("n").alias("group_size"))
         old = self.rows().select("digest", F.col("keep_id").alias("old_id"), F.lit(True).alias("seen"))
@@ -73,13 +69,7 @@ class DigestIndex:
             ), "groups",
         )
         self.append(groups.filter(~F.col("seen")))
-        least = max(2, int(total * HOT_SHARE) + 1)  # so at most 1 / HOT_SHARE groups are hot
-        hot = groups.filter(F.col("group_size") >= least)
-        some = one.filter("n is not null").select("digest", "doc_id")
-        by_hot = some.join(F.broadcast(hot), "digest")
-        rest = some.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
-        by_merge = rest.join(groups.filter(F.col("group_size") < least), "digest")
-        both = by_hot.unionByName(by_merge)
+        both = joined_by_group(one.select("digest", "doc_id"), groups, "digest", "group_size")
         return both.select(
             "doc_id", "keep_id", "group_size",
             (~F.col("seen") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
@@ -95,8 +85,9 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 def kept_rows(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, all their columns; of repeated rows one.  Texts are shuffled once."""
-    own = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    stay = exact_dedup(docs, index).filter("kept").select(own.alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumn("_own_id", own).withColumn("_own_sha", digest(text_or_empty()))
-    out = rows.join(stay, (F.col("_own_id") == F.col("_id")) & (F.col("_own_sha") == F.col("_sha")), "left_semi")
-    return out.dropDuplicates(["_own_id", "_own_sha"]).select(*docs.columns)
+    own, sha, id_, sha_ = fresh(docs, "own", "sha", "stay_id", "stay_sha")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    stay = exact_dedup(docs, index).filter("kept").select(name.alias(id_), F.col("text_sha256").alias(sha_))
+    rows = docs.withColumn(own, name).withColumn(sha, digest(text_or_empty()))
+    out = rows.join(stay, (F.col(own) == F.col(id_)) & (F.col(sha) == F.col(sha_)), "left_semi")
+    return out.dropDuplicates([own, sha]).select(*docs.columns)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.llm.arrays import byte_column, mix, spans_of_bytes
-from treeline.llm.common import joined_by_group, long_id, small_batches, text_or_empty, written
+from treeline.llm.common import fresh, joined_by_group, long_id, small_batches, text_or_empty, written
 from treeline.llm.components import components
 from treeline.llm.shingles import shingle_sets
 
@@ -511,6 +511,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def kept_rows(docs: DataFrame) -> DataFrame:
     """One document of each component stays: the one with the least id (rows of null id stay); all columns as they are."""
-    stay = near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    out = docs.filter("doc_id is not null").join(stay, F.col("doc_id") == F.col("_keep"), "left_semi")
+    (keep,) = fresh(docs, "keep")
+    stay = near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(keep)).distinct()
+    out = docs.filter("doc_id is not null").join(stay, F.col("doc_id") == F.col(keep), "left_semi")
     return out.unionByName(docs.filter("doc_id is null"))

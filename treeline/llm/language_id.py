@@ -193,10 +193,14 @@ LEAST_SCORE = 0.5
 
 
 def accepted(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs`` whose text is in one of its languages, all their columns."""
+    """The rows of ``docs`` whose text is in one of its languages, all their columns.
+
+    Where no document names its language, none was learned, and only texts without letters are rejected.
+    """
     trees = learned(docs.filter(fold(4) != 2))
-    own = {"_text", "_letters", "lang_pred", "score"}
-    names = {c: f"_c{i}" if c in own else c for i, c in enumerate(docs.columns)}
-    out = predicted(docs.withColumnsRenamed(names), trees, list(names.values()))
-    out = out.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).drop("lang_pred", "score")
-    return out.withColumnsRenamed({v: k for k, v in names.items()})
+    if not trees.langs:
+        return docs.filter(F.col("text").cast("string").rlike(r"\p{L}"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]))
+    out = predicted(rows, trees, names).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return out.select(*names).toDF(*docs.columns)

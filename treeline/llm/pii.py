@@ -19,6 +19,7 @@ Defined results:
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import re
@@ -35,6 +36,8 @@ from treeline.llm.common import hashed_unit, long_id, small_batches, text_or_emp
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens of the longest entity; feature rows (a power of two); documents in the sample, none longer than so many characters.
 LONGEST, ROWS, SAMPLE_DOCS, SAMPLE_LONGEST = 20, 1 << 15, 300, 8_000
+#: Digits of a number that can be an entity (with three dots, fewer will do).
+LEAST_DIGITS, MOST_DIGITS = 7, 20
 #: Log-odds that an added span must have over other text.
 MARGIN = 2.0
 AROUND, APART = 32, 24
@@ -48,6 +51,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT, _DIGITS = re.compile(r"[0-9]"), re.compile(r"[0-9]+")
 _TRIGGER = re.compile(r"[0-9@]|[\[(] ?at ?[\])]")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
+_MAIL = re.compile(r"[\w%+-]+(?:\.[\w%+-]+)* ?(?:@|\[ ?at ?\]|\( ?at ?\)) ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _NUMERIC = frozenset("+().-/ ")
 Span = tuple[str, int, int]
 
@@ -111,7 +115,7 @@ class Lattice:
             if taken[i] or not (word[0].isalnum() or word in "+("):
                 continue
             numeric = word[0] in "+(" or "0" <= word[0] <= "9"
-            spelled, gaps = False, 0
+            spelled, gaps, digits, dots = False, 0, 0, 0
             for j in range(i, min(count, i + LONGEST)):
                 a, b, w = self.tokens[j]
                 if taken[j]:
@@ -122,33 +126,38 @@ class Lattice:
                         break
                 digit = "0" <= w[0] <= "9"
                 numeric = numeric and (digit or w in _NUMERIC)
+                digits, dots = digits + digit * len(w), dots + (w == ".")
+                if digits > MOST_DIGITS and not spelled:
+                    break
                 spelled = spelled or w == "@" or (w == "at" and j > i)
                 if not numeric and not spelled and j - i > 8:
                     break
-                if (numeric and digit and j > i) or (numeric and digit and len(w) >= 7) or (spelled and j - i >= 4 and w[0].isalnum() and w != "at"):
+                if (numeric and digit and (digits >= LEAST_DIGITS or dots == 3)) or (spelled and j - i >= 4 and w[0].isalnum() and w != "at"):
                     self.segments.append((i, j + 1, self.rows(text, i, j + 1)))
 
     def rows(self, text: str, i: int, j: int) -> list[int]:
         a, b = self.tokens[i][0], self.tokens[j - 1][1]
-        span = text[a:b]
-        digits = "".join(_DIGITS.findall(span))
-        shape = re.sub(r"[^\W\d_]+", "a", _DIGITS.sub(lambda m: f"d{len(m[0])}", span))
-        coarse = re.sub(r"d\d+", "d", shape)
-        before = text[a - 1] if a else " "
-        after = text[b : b + 2]
-        parts = span.split(".")
-        checks = f"{luhn(digits) if 13 <= len(digits) <= 19 else '-'}{len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)}"
-        glued = ("x" if before.isalnum() else before if before in "+(.-@$#=\"/:,_" else " ") + (
-            "x" if after[:1].isalnum() else after if after[:1] in ".-@/:,_)" and after[1:2].isalnum() else " "
-        )
-        words = self.tokens[i - 1][2].lower() if i else ""
-        at = span.count("@") + len(re.findall(r"[\[( ]at[\]) ]", span))
-        told = [
-            "bias", f"shape {shape}", f"coarse {coarse}", f"digits {len(digits)}", f"checks {checks} {len(digits) >= 13}",
-            f"glued {glued}", f"first {span[0] if not span[0].isalpha() else 'a'} {min(len(digits), 16)}", f"word {words}",
-            f"at {at} {'.' in span.rpartition('@')[2]}", f"runs {len(_DIGITS.findall(span))} {len(digits)}", f"size {min(j - i, 20)}",
-        ]
-        return [zlib.crc32(x.encode()) % ROWS for x in told]
+        return feature_rows(text[a:b], text[a - 1] if a else " ", text[b : b + 2], self.tokens[i - 1][2].lower()[:20] if i else "", j - i)
+
+
+@functools.lru_cache(20_000)
+def feature_rows(span: str, before: str, after: str, word: str, size: int) -> list[int]:
+    """The weight rows of a candidate between what stands before and after it."""
+    digits = "".join(_DIGITS.findall(span))
+    shape = re.sub(r"[^\W\d_]+", "a", _DIGITS.sub(lambda m: f"d{len(m[0])}", span))
+    coarse = re.sub(r"d\d+", "d", shape)
+    parts = span.split(".")
+    checks = f"{luhn(digits) if 13 <= len(digits) <= 19 else '-'}{len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)}"
+    glued = ("x" if before.isalnum() else before if before in "+(.-@$#=\"/:,_" else " ") + (
+        "x" if after[:1].isalnum() else after if after[:1] in ".-@/:,_)" and after[1:2].isalnum() else " "
+    )
+    at = span.count("@") + len(re.findall(r"[\[( ]at[\]) ]", span))
+    told = [
+        "bias", f"shape {shape}", f"coarse {coarse}", f"digits {len(digits)}", f"checks {checks} {len(digits) >= 13}",
+        f"glued {glued}", f"first {span[0] if not span[0].isalpha() else 'a'} {min(len(digits), 16)}", f"word {word}",
+        f"at {at} {'.' in span.rpartition('@')[2]}", f"mail {bool(_MAIL.fullmatch(span))} {glued}", f"runs {len(_DIGITS.findall(span))} {len(digits)}", f"size {min(size, 20)}",
+    ]
+    return [zlib.crc32(x.encode()) % ROWS for x in told]
 
 
 class SemiMarkov:
@@ -211,7 +220,7 @@ def example(rnd: random.Random, words: list[str]) -> tuple[str, list[Span]]:
             return kind, rnd.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "+{}-{}-{}", "001 {} {} {}", "({}) {} {}", "+1 ({}) {}-{}"]).format(*p)
         if kind == "email":
             host = f"{name()}{rnd.choice(['', n(1)])}.{rnd.choice(['com', 'org', 'net', 'example.com'])}"
-            return kind, f"{name()}{rnd.choice(['', '.' + n(2), '_' + name()])}{rnd.choice([' [at] ', '(at)', ' (at) ', '[at]', ' @ ', '@'])}{host}"
+            return kind, f"{name()}{rnd.choice(['', '.' + n(2), '_' + name(), '.' + name(), n(2)])}{rnd.choice([' [at] ', '(at)', ' (at) ', '[at]', ' @ ', '@'])}{host}"
         if kind == "ip":
             return kind, ".".join(str(rnd.randint(1, 254)) for _ in range(4))
         c = card()

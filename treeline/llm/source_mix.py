@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeline.llm.common import SPACES, hashed_unit, text_or_empty, written
+from treeline.llm.common import SPACES, fresh, hashed_unit, text_or_empty, written
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -78,8 +78,9 @@ def emitted(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHT
     per = written(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), "targets")
     few = per.count() <= BROADCAST_SOURCES
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    per = per.select(F.col("source").alias("_source"), rate.alias("_rate"))
-    out = docs.join(F.broadcast(per) if few else per, F.col("source").eqNullSafe(F.col("_source")))
-    copies = F.floor("_rate") + (hashed_unit(seed, key) < F.col("_rate") - F.floor("_rate")).cast("long")
-    out = out.withColumn("_copies", copies.cast("int")).filter("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    name, each, copies, copy = fresh(docs, "mix_source", "mix_rate", "mix_copies", "mix_copy")
+    per = per.select(F.col("source").alias(name), rate.alias(each))
+    out = docs.join(F.broadcast(per) if few else per, F.col("source").eqNullSafe(F.col(name)))
+    count = F.floor(F.col(each)) + (hashed_unit(seed, key) < F.col(each) - F.floor(F.col(each))).cast("long")
+    out = out.withColumn(copies, count.cast("int")).filter(F.col(copies) > 0)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

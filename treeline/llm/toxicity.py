@@ -89,14 +89,15 @@ class SubwordBag:
         self.logits, self.bias, self.slope, self.shift = logits, bias, slope, shift
 
     def windows(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The text and the logit of each window, two half windows long (one, at a text's end)."""
+        """The text and the logit of each window: of a half window alone, or with the next, whichever is greater."""
         buckets, half, owner = features(data, starts)
+        if not len(owner):
+            return owner, np.zeros(0)
         total = np.bincount(half, self.logits[buckets], minlength=len(owner))
         count = np.bincount(half, minlength=len(owner))
-        both = np.append(owner[1:] == owner[:-1], False) if len(owner) else np.zeros(0, bool)
-        total = total + np.where(both, np.append(total[1:], 0), 0) if len(owner) else total
-        count = count + np.where(both, np.append(count[1:], 0), 0) if len(owner) else count
-        return owner, total / np.maximum(count, 1) + self.bias
+        next_ = np.append(owner[1:] == owner[:-1], False)
+        both = (total + np.where(next_, np.append(total[1:], 0), 0)) / np.maximum(count + np.where(next_, np.append(count[1:], 0), 0), 1)
+        return owner, np.maximum(total / np.maximum(count, 1), both) + self.bias
 
     def greatest(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The greatest window logit of each text, the bias at least."""
