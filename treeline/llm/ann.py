@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from treeline.llm.common import hashed_unit, long_id, small_batches, written
 
 NEAREST, CENTRES = 20, 16
-#: Cosine from which a query counts as near, for the weight of the parallel residual.
-NEAR = 0.2
+#: Standard deviations of a random cosine from which a query counts as near, for the weight of the parallel residual.
+NEAR = 2.0
 #: Vectors in the learning sample; rows scanned together; bytes of a block of queries; standard errors of a table sum
 #: below the last place within which rows are scored exactly.
 SAMPLE, BLOCK, QUERY_BYTES, ERRORS = 20_000, 8192, 8 << 20, 3.0
@@ -43,7 +43,8 @@ class Quantiser:
         random = np.random.default_rng(seed)
         self.dim = sample.shape[1]
         self.parts = (self.dim + 3) // 4 * 2  # an even number of subspaces, so that two codes fill a byte
-        self.eta = max(1.0, (self.dim - 1) * NEAR**2 / (1 - NEAR**2))
+        near = min(0.9, NEAR / self.dim**0.5)
+        self.eta = max(1.0, (self.dim - 1) * near**2 / (1 - near**2))
         x = self.cut(sample)
         pick = random.choice(len(x), CENTRES, replace=len(x) < CENTRES)
         self.centres = x[pick].transpose(1, 0, 2).copy() + random.normal(0, 1e-4, (self.parts, CENTRES, 2))
