@@ -180,13 +180,16 @@ class Builder:
             rows = rows.filter(F.expr(self._rest(r, child, own)))
         if through:
             pairs = self.catalog.table(through.table).select(F.col(through.source).alias(f"{own}#0"), F.col(through.target).alias(f"{own}#to"))
-            pairs = self._among(pairs.dropna(), df, mine, [f"{own}#0"], few).distinct()
+            pairs = pairs.filter(F.col(f"{own}#0").isNotNull() & F.col(f"{own}#to").isNotNull())
+            pairs = self._among(pairs, df, mine, [f"{own}#0"], few).distinct()
             rows = pairs.join(rows, F.col(f"{own}#to") == F.col(f"`{own}{child.config.column(child.config.ids[0])}`"))
             keys = [f"{own}#0"]
         else:
             keys = [f"{own}#{i}" for i in range(len(mine))]
             rows = rows.select("*", *[F.col(f"`{own}{c}`").alias(k) for k, (_, _, c) in zip(keys, found.pairs, strict=True)])
-            rows = self._among(rows.dropna(subset=keys), df, mine, keys, few)
+            for k in keys:
+                rows = rows.filter(F.col(f"`{k}`").isNotNull())
+            rows = self._among(rows, df, mine, keys, few)
         rank = f"{own}#rank"
         if child.many and child.order:
             by = Window.partitionBy(*keys).orderBy(*sorted_by(child.order, self.typed(rows, child, own)))
