@@ -40,6 +40,8 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
     """Deletes a table that ``written`` made, once nothing reads it any more."""
     jvm, paths = spark.sparkContext._jvm, {f.rsplit("/", 1)[0] for f in df.inputFiles()}
     for p in paths:
+        if "/treeline-" not in p:
+            raise ValueError(f"'{p}' is no scratch table")
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

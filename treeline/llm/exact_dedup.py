@@ -41,6 +41,10 @@ class DigestIndex:
                 f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS{at}"
             )
 
+    def drop(self) -> None:
+        """Deletes the index; results that ``dedup`` gave stay as they are."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
@@ -78,9 +82,13 @@ class DigestIndex:
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """Each document with the one that stays for its text; against a new index where none is given."""
-    spark = docs.sparkSession
-    return (index or DigestIndex(spark, f"digests_{uuid.uuid4().hex[:12]}")).dedup(docs)
+    """Each document with the one that stays for its text; against an index of this call's own where none is given."""
+    if index is not None:
+        return index.dedup(docs)
+    own = DigestIndex(docs.sparkSession, f"digests_{uuid.uuid4().hex[:12]}")
+    out = own.dedup(docs)
+    own.drop()
+    return out
 
 
 def kept_rows(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.llm.arrays import byte_column, mix, spans_of_bytes
-from treeline.llm.common import fresh, joined_by_group, long_id, small_batches, text_or_empty, written
+from treeline.llm.common import dropped, fresh, joined_by_group, long_id, small_batches, text_or_empty, written
 from treeline.llm.components import components
 from treeline.llm.shingles import shingle_sets
 
@@ -301,7 +301,7 @@ def rare_pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def bloom(sigs: DataFrame) -> tuple[np.ndarray, int]:
-    """A bitmap of the signatures' hashes: so many bits that few others pass, 2**28 at most."""
+    """A packed bitmap of the signatures' hashes, and how many bits address it: so many bits that few others pass, 2**28 at most."""
     count = sigs.count()
     bits = int(min(28, max(12, np.ceil(np.log2(64 * max(count, 1))))))
     wide = 1 << min(bits, 15)
@@ -326,20 +326,21 @@ def bloom(sigs: DataFrame) -> tuple[np.ndarray, int]:
     kind, out = "block int, bits binary", np.zeros(1 << bits >> 3, np.uint8)
     for r in sigs.mapInArrow(mark, kind).repartition("block").mapInArrow(both, kind).collect():
         out[r["block"] * wide // 8 : (r["block"] + 1) * wide // 8] = np.frombuffer(r["bits"], np.uint8)
-    return np.unpackbits(out).astype(bool), bits
+    return out, bits
 
 
 def sets_of(docs: DataFrame, sigs: DataFrame) -> DataFrame:
     """sig, tokens (bytes of the sorted hashes) of the signatures asked for, from the texts again."""
     marks, bits = bloom(sigs)
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = np.unpackbits(shared.value).astype(bool), set()
+        own, seen = shared.value, set()
         for batch in batches:
             for _, tokens, at in each_set(batch):
                 sig = signatures(tokens, at)
-                wanted = (at[1:] > at[:-1]) & own[(mix(sig) >> np.uint64(64 - bits)).astype(np.int64)]
+                place = (mix(sig) >> np.uint64(64 - bits)).astype(np.int64)
+                wanted = (at[1:] > at[:-1]) & ((own[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 > 0)
                 pick = [i for i in np.flatnonzero(wanted) if not (int(sig[i]) in seen or seen.add(int(sig[i])))]
                 if pick:
                     yield pa.RecordBatch.from_arrays(
@@ -496,6 +497,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     else:
         sets = sets_of(docs, wanted)
         links = written(verified(pairs, sets).unionByName(clustered(members, sets)), "links")
+        for done in (sets, pairs, members, wanted):
+            dropped(docs.sparkSession, done)
     roots = components(links)
     names = own.filter("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     names = written(names, "names")
