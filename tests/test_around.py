@@ -15,6 +15,7 @@ from treeline.schema import Entity, Join, Schema, Through
 from treeline.sources.catalog import Catalog, write
 from treeline.sources.infer import from_dataframes, from_prisma, from_sdl, from_tables
 from treeline.streaming.live import Event, changed, channel, decoded, encode, live, parse_channel, request_rates
+from treeline.streaming.pubsub import FolderPubSub, MemoryPubSub, follow
 
 SCHEMA = Schema({"user": Entity(("id", "name"), table="users"), "post": Entity(("id",), table="posts")}, {"user.posts": Join("post", "posts.user_id = users.id", True), "posts.user": Join("user", "users.id = posts.user_id")})
 DEEP = "{ user { id posts { id user { name } } } }"
@@ -248,3 +249,27 @@ def test_request_rates(spark, tmp_path):
     stream = request_rates(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), F.col("who"))
     stream.writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start().awaitTermination(60)
     assert spark.table("rates").count() == 3
+
+
+def test_memory_channels(engine):
+    bus, got, events = MemoryPubSub(), [], []
+    bus.subscribe(channel("user"), lambda _: 1 / 0)
+    end = bus.subscribe(channel("user"), got.append)
+    assert bus.publish(channel("user"), "x") == 2 and got == ["x"]
+    end()
+    end()
+    assert bus.publish(channel("user")) == 1 and bus.publish("nobody") == 0
+    stop = follow(engine, bus, "user", 1, "{ user { name } }", events.append, "ql")
+    bus.notify("user", 1)
+    bus.notify("user", 2)
+    stop()
+    bus.notify("user", 1)
+    assert [(e.kind, e.data) for e in events] == [("update", {"name": "Ada"})] * 2
+
+
+def test_folder_channels(spark, engine, tmp_path):
+    bus, events = FolderPubSub(str(tmp_path / "in")), []
+    bus.notify("user", 1, 2)
+    bus.notify("user")
+    live(engine, bus.lines(spark), "user", "{ user { name } }", [2], events.append, form="ql", checkpoint=str(tmp_path / "ck"), once=True).awaitTermination(60)
+    assert [e.data for e in events] == [{"name": "Grace"}] * 2
