@@ -264,7 +264,8 @@ def test_near_duplicates(spark, rows):
 def test_near_duplicates_when_all_tokens_are_frequent(spark, monkeypatch):
     rows = chains(5)
     monkeypatch.setattr(jaccard.Frequencies, "__init__", lambda self, level: self.__dict__.update(level=level, shift=np.uint64(64 - int(len(level)).bit_length() + 1), rare=int(jaccard.levels(np.array([2.5]))[0])))
-    monkeypatch.setattr(jaccard, "TOGETHER", 40)
+    monkeypatch.setattr(jaccard, "TOGETHER", 20)
+    monkeypatch.setattr(jaccard, "HUBS", 2)
     assert sorted(rows_of(jaccard.near_duplicates(table(spark, rows)))) == sorted(brute_components(rows))
 
 
@@ -280,8 +281,10 @@ def test_cluster_links():
             forest.up[max(forest.root(a), forest.root(b))] = min(forest.root(a), forest.root(b))
         return forest.roots().tolist()
 
-    got = jaccard.cluster_links(sets, np.arange(60))
+    got = jaccard.cluster_links(sets, np.arange(60), np.arange(60))
     assert set(got) <= links and parts(got) == parts(links)
+    known = np.array(parts(list(links)[:40]))
+    assert parts(list(links)[:40] + jaccard.cluster_links(sets, np.arange(60), known)) == parts(links)
 
 
 # -- byte-level BPE

@@ -22,8 +22,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v")
 
 
-def _sum(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node hangs on one root, and no root on anything: then the edges name the components."""
+    rows, nodes = edges.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
+    if rows != nodes:
+        return False
+    return not rows or edges.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,13 +35,11 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(
         edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
-    spark, state = now.sparkSession, None
-    while True:
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = written(_star(both, True).distinct(), "edges")
         following = written(_star(large, False).distinct(), "edges")
-        dropped(spark, now)
-        dropped(spark, large)
-        now, before, state = following, state, _sum(following)
-        if state == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        dropped(now.sparkSession, now)
+        dropped(now.sparkSession, large)
+        now = following
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -11,7 +11,7 @@ sets that reach the similarity T share at least min(EXTRA, the needed overlap) t
   least two frequent ones (or all they need).  Where a prefix holds more than LIGHT frequent tokens, combinations
   would grow with its square; such a set is indexed by each frequent token instead, and met there by all others.
   Sets that meet (directly or along others) form a cluster, and each cluster is verified by an inverted index over
-  whole sets, in blocks: a big group of near copies costs no list of its pairs.
+  whole sets, in blocks: a big group of near copies costs no list of its pairs, and lands in no single task.
 
 Verified links are exact over whole sets; components come from links alone.
 
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.llm.arrays import byte_column, mix, spans_of_bytes
@@ -43,7 +43,9 @@ EXTRA, LIGHT = 4, 24
 #: The sketch has a counter for each so many words, within these bounds (as powers of two).
 WORDS_EACH, LEAST_BITS, MOST_BITS = 8, 18, 25
 #: Records of an index partition, counters of a sketch block, sets of a cluster verified together.
-RECORDS, BLOCK, TOGETHER = 1_000_000, 1 << 12, 4096
+RECORDS, BLOCK, TOGETHER = 1_000_000, 1 << 12, 1024
+#: Sets of a cluster that all its blocks hold.
+HUBS = 16
 STEP, FLUSH = 4 << 20, 600_000
 
 RECORD = np.dtype([("key", "<u8"), ("sig", "<u8"), ("n", "<u4"), ("m", "<u2")])
@@ -87,7 +89,7 @@ class Frequencies:
     def __init__(self, level: np.ndarray):
         self.level = level
         self.shift = np.uint64(64 - int(len(level)).bit_length() + 1)
-        mean = float((np.exp2(level / 12.0) - 1).mean()) if len(level) else 0.0
+        mean = float(np.bincount(level, minlength=256) @ (np.exp2(np.arange(256) / 12.0) - 1)) / max(len(level), 1)
         #: Counters that unrelated tokens alone fill hardly exceed this.
         self.rare = int(levels(np.array([mean + 4 * mean**0.5 + 4]))[0])
 
@@ -393,11 +395,12 @@ class Forest:
         return up
 
 
-def cluster_links(sets: list[np.ndarray], ask: np.ndarray, starts: int = 8) -> list[tuple[int, int]]:
-    """Links that connect whatever the links between asked sets and all others connect.
+def cluster_links(sets: list[np.ndarray], ask: np.ndarray, comps: np.ndarray, starts: int = 8) -> list[tuple[int, int]]:
+    """Links that connect whatever the links between asked sets and all others connect, beyond what ``comps`` says is
+    connected already.
 
-    An inverted index gives the overlaps of one set with all others at once.  After some first sets, the members of the
-    greatest component need not be asked: what they link to outside is asked itself.
+    An inverted index gives the overlaps of one set with all others at once.  Where all are asked, the members of the
+    greatest component need not be after some first sets: what they link to outside is asked itself.
     """
     n = np.array([len(s) for s in sets])
     tokens = np.concatenate(sets)
@@ -405,6 +408,8 @@ def cluster_links(sets: list[np.ndarray], ask: np.ndarray, starts: int = 8) -> l
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]
     forest, out = Forest(len(sets)), []
+    _, first, same = np.unique(comps, return_index=True, return_inverse=True)
+    forest.up = first[same]
 
     def look(i: int) -> None:
         low, high = np.searchsorted(tokens, sets[i], side="left"), np.searchsorted(tokens, sets[i], side="right")
@@ -416,55 +421,82 @@ def cluster_links(sets: list[np.ndarray], ask: np.ndarray, starts: int = 8) -> l
                 forest.up[max(p, q)] = min(p, q)
                 out.append((i, int(j)))
 
-    first = ask[:: max(1, len(ask) // starts)][:starts]
-    for i in first:
+    early = ask[:: max(1, len(ask) // starts)][:starts]
+    for i in early:
         look(int(i))
     roots = forest.roots()
     names, counts = np.unique(roots, return_counts=True)
     most = names[counts.argmax()]
-    whole = len(ask) == len(sets)  # else others, unasked here, may be outside the greatest component
-    for i in np.setdiff1d(ask, first):
+    whole = len(ask) == len(sets)
+    for i in np.setdiff1d(ask, early):
         if not (whole and roots[i] == most):
             look(int(i))
     return out
 
 
-def clustered(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links inside clusters; ``members``: sig, root.  A cluster of more than TOGETHER sets is cut into blocks by hash,
-    and every two blocks meet: each set is sent once for each block."""
-    size = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(TOGETHER))).cast("int").alias("blocks"))
-    size = size.withColumnRenamed("root", "_root")
-    rows = members.join(size, F.col("root") == F.col("_root")).drop("_root")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")).join(sets, "sig")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("root", "sig", "tokens", "block", other)
-    rows = rows.select(
-        "root", "sig", "tokens", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
-        (F.col("block") <= F.col("other")).alias("asks"),
-    )
+def block_links(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Links (a, b) among the rows (sig, tokens, comp, asks) that share all ``keys``."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sig, sets, asks = None, [], [], []
+        key, held = None, {}
 
         def out() -> pa.RecordBatch:
-            links = cluster_links(sets, np.flatnonzero(asks)) if len(sets) > 1 else []
+            sig = list(held)
+            links: list[tuple[int, int]] = []
+            if len(sig) > 1:
+                asks = np.flatnonzero([held[s][2] for s in sig])
+                links = cluster_links([held[s][0] for s in sig], asks, np.array([held[s][1] for s in sig], np.int64))
             a, b = np.array([sig[i] for i, _ in links], np.int64), np.array([sig[j] for _, j in links], np.int64)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("root", "x", "y", "sig", "tokens", "asks")]
-            for root, x, y, s, raw, ask in zip(*columns, strict=True):
-                if (root, x, y) != key:
-                    if sets:
+            columns = [batch.column(c).to_pylist() for c in (*keys, "sig", "tokens", "comp", "asks")]
+            for *own, s, raw, comp, ask in zip(*columns, strict=True):
+                if own != key:
+                    if held:
                         yield out()
-                    key, sig, sets, asks = (root, x, y), [], [], []
-                sig.append(s)
-                sets.append(np.frombuffer(raw, np.uint64))
-                asks.append(ask)
-        if sets:
+                    key, held = own, {}
+                held[s] = (np.frombuffer(raw, np.uint64), comp, ask or (s in held and held[s][2]))
+        if held:
             yield out()
 
-    return rows.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "sig").mapInArrow(check, "a long, b long")
+    rows = rows.select(*keys, "sig", "tokens", "comp", "asks")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "sig").mapInArrow(check, "a long, b long")
+
+
+def clustered(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that connect the sets of each cluster as all their links would; ``members``: sig, root.
+
+    A cluster is dealt by hash into blocks of about TOGETHER sets, and each block is searched by itself, with some hubs of
+    the cluster that all its blocks hold: they tie together what belongs to one large group of near copies.  Of a cluster
+    in several blocks, the sets outside its greatest component (mostly few) then meet every block.
+    """
+    size = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(TOGETHER))).cast("int").alias("blocks"))
+    rows = joined_by_group(members, size.withColumn("rows", F.col("blocks") * F.lit(TOGETHER)), "root", "rows").drop("rows")
+    rows = written(rows.withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")), "blocks")
+    several = rows.filter("blocks > 1")
+    place = Window.partitionBy("root").orderBy("sig")
+    hubs = several.withColumn("hub", F.row_number().over(place)).filter(F.col("hub") <= HUBS)
+    hubs = hubs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = rows.select("root", "block", "sig").unionByName(hubs.select("root", "block", "sig")).distinct()
+    asked = dealt.join(sets, "sig").withColumns({"comp": F.col("sig"), "asks": F.lit(True)})
+    within = written(block_links(asked, ["root", "block"]), "links")
+    if several.isEmpty():
+        return within
+    found = components(within).withColumnRenamed("root", "comp").withColumnRenamed("node", "sig")
+    several = written(several.join(found, "sig", "left").withColumn("comp", F.coalesce("comp", "sig")), "several")
+    greatest = several.groupBy("root", "comp").count().groupBy("root").agg(F.max_by("comp", F.struct("count", "comp")).alias("most"))
+    count = several.groupBy("root").agg(F.count(F.lit(1)).alias("rows"))
+    outside = joined_by_group(several, greatest.join(count, "root"), "root", "rows").filter("comp <> most").drop("most", "rows")
+    outside = written(outside, "outside")
+    chunks = outside.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(TOGETHER))).cast("int").alias("chunks")).join(count, "root")
+    each = lambda df: joined_by_group(df, chunks, "root", "rows").drop("rows")
+    asking = each(outside).select(
+        "root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        F.pmod(F.xxhash64("sig", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"), "sig", "comp", F.lit(True).alias("asks"),
+    )
+    present = each(several).select("root", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "sig", "comp", F.lit(False).alias("asks"))
+    return within.unionByName(block_links(asking.unionByName(present).join(sets, "sig"), ["root", "block", "chunk"]))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
