@@ -547,6 +547,23 @@ def test_training_beats_the_base():
     assert model.log_probability(token, before)[0].mean() > start + 0.5
 
 
+def test_each_training_document_teaches(spark):
+    words, _ = word_hashes(*byte_column(pa.array(["a b c d"])))
+    head = lm.Head(words)
+    head.counts = np.full(len(head.table.keys), 5)
+    held = [i for i in range(1, 6) if zlib.crc32(str(i).encode()) % 7 == 2]
+    for i in sorted({1, 2, 3, 4, 5} - set(held))[:3]:
+        model = lm.trained(lm.prepared(table(spark, [(i, "a b c d a b c d", "en", "s")])), lm.MaxEnt(head, 0))
+        assert model.classes.any() and model.members.any()
+
+
+def test_sums_between_edges():
+    rnd = np.random.default_rng(5)
+    values, row = rnd.normal(size=(500, 7)), np.sort(rnd.zipf(1.5, 2000))
+    at, edge = rnd.integers(0, 500, 2000), np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+    assert np.allclose(lm.summed(values, at, edge), np.add.reduceat(values[at], edge, axis=0))
+
+
 def test_streams_of_cut_rows():
     texts = ["a b c d e f g", "", "h i"]
     data, at = byte_column(pa.array(texts))

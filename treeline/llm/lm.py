@@ -6,7 +6,7 @@ member logits are sums of weights of hashed features: the last word, the two ski
 together (for members, each combined with the class).  Within the rare class a word has the share of its exact count,
 plus one, of all rare words' counts.  The weights start from the unigram shares and are trained by distributed gradient
 updates: in each round every task runs over its part of the round's slice of the training documents, and the changes
-are averaged, weight row by weight row.
+are averaged, weight row by weight row.  The slices of all rounds together hold every training document once.
 
 Counts are exact and over all training documents.  Frequent words (by a sample; which these are changes no result) are
 counted in place; all others go by word through one shuffle, where each is counted and its count handed back to the
@@ -37,14 +37,15 @@ from treeline.llm.shingles import _SPACE, word_hashes
 HEAD, CLASSES, MEMBERS, ROWS = 1 << 16, 64, 64, 1 << 13
 #: Documents in the sample that names the frequent words.
 SAMPLE_DOCS = 4_000
-#: Rounds of training, and the share of the training documents that they use together.
-ROUNDS, SHARE, RATE = 4, 1 / 8, 0.15
+#: Rounds of training, each over its own slice of the training documents.
+ROUNDS, RATE = 4, 0.15
 START, END = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 STEP, FLUSH, RECORDS, CHUNK = 4 << 20, 1_000_000, 2_000_000, 1 << 13
 RECORD = np.dtype([("word", "<u8"), ("doc", "<u8"), ("n", "<u4"), ("train", "<u1")])
 #: What a partition of words hands back to a document; counters of the head that travel together.
 BACK = np.dtype([("doc", "<u8"), ("tail", "<f8"), ("known", "<u4")])
 BLOCK = 1 << 10
+FEW = 8
 HEADS, SIZES, BACKS = 0, 1, 2
 
 
@@ -281,6 +282,13 @@ class MaxEnt:
         z -= z.max(axis=1, keepdims=True)
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
+    @staticmethod
+    def softmax(z: np.ndarray) -> np.ndarray:
+        z -= z.max(axis=1, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(axis=1, keepdims=True)
+        return z
+
     def log_probability(self, token: np.ndarray, before: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Natural logarithm of each token's probability (of its class alone, for rare ones); whether it is rare."""
         target = self.targets(token)
@@ -308,14 +316,14 @@ class MaxEnt:
             features, own = self.features([b[s] for b in before]), target[s]
             group = own // MEMBERS
             rows = self.rows(features)
-            off = np.exp(self.log_softmax(self.class_bias + sum_rows(self.classes, rows)))
+            off = self.softmax(self.class_bias + sum_rows(self.classes, rows))
             off[np.arange(len(own)), group] -= 1
             descend(self.classes, rows, off, power[0])
             some = np.flatnonzero(own < CLASSES * MEMBERS)
             if len(some):
                 of = group[some]
                 rows = self.rows([f[some] for f in features], of)
-                off = np.exp(self.log_softmax(self.member_bias[of] + sum_rows(self.members, rows)))
+                off = self.softmax(self.member_bias[of] + sum_rows(self.members, rows))
                 off[np.arange(len(some)), own[some] % MEMBERS] -= 1
                 descend(self.members, rows, off, power[1])
 
@@ -333,20 +341,31 @@ def descend(weights: np.ndarray, rows: list[np.ndarray], off: np.ndarray, power:
     order = np.argsort(row, kind="stable")
     row = row[order]
     edge = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-    grad = np.add.reduceat(off[order % len(off)], edge, axis=0)
-    touched = row[edge]
-    power[touched] += (grad**2).mean(axis=1)
-    weights[touched] -= RATE * grad / np.sqrt(power[touched])[:, None]
+    grad, touched = summed(off, order % len(off), edge), row[edge]
+    power[touched] += np.einsum("ij,ij->i", grad, grad) / grad.shape[1]
+    grad *= (RATE / np.sqrt(power[touched]))[:, None]
+    weights[touched] -= grad
+
+
+def summed(values: np.ndarray, at: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Sums of ``values[at]`` between edges: the first FEW of each one by one for all, what is left of long ones singly."""
+    size = np.diff(np.append(edge, len(at)))
+    out = values[at[edge]]
+    for k in range(1, FEW):
+        more = np.flatnonzero(size > k)
+        out[more] += values[at[edge[more] + k]]
+    for i in np.flatnonzero(size > FEW):
+        out[i] += values[at[edge[i] + FEW : edge[i] + size[i]]].sum(axis=0)
+    return out
 
 
 def trained(docs: DataFrame, model: MaxEnt) -> MaxEnt:
-    """The model after ROUNDS of distributed updates."""
+    """The model after ROUNDS of distributed updates, which use each training document once."""
     spark = docs.sparkSession
     train = docs.filter(~F.col("held_out"))
-    slices = round(ROUNDS / SHARE)
     tasks = max(1, train.rdd.getNumPartitions() // 3)
     block = min(256, ROWS)
-    part = F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(slices))
+    part = F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(ROUNDS))
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
