@@ -475,6 +475,12 @@ def test_held_out_examples():
     assert hit / there > 0.93 and hit / found > 0.85
 
 
+def test_long_digit_runs_in_dotted_numbers():
+    assert not [x for x in pii.base_spans("1" * 5000 + ".1.1.1") if x[0] == "ip"]
+    text = "0" * 5000 + "9.1.1.1"
+    assert ("ip", 0, len(text)) in pii.base_spans(text)
+
+
 def test_pii_tables(spark):
     rows = odd(7) + [(200, "mail a.b@c.de, 10.0.0.1 und +49 (30) 1234567; 4111 1111 1111 1111", "de", "s")]
     got = {(r["doc_id"], r["base_sha256"]): r for r in pii.found(table(spark, rows)).collect()}
