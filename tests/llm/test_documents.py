@@ -475,6 +475,18 @@ def test_held_out_examples():
     assert hit / there > 0.93 and hit / found > 0.85
 
 
+def test_regions_end_beside_white_space():
+    mail = "jonathan.alexander.montgomery.smithson [at] a-very-long-name-of-some-host.example.com"
+    text = f"write to {mail} today"
+    (begin, end), = pii.regions(text)
+    assert begin <= 9 and end >= 9 + len(mail) and text[end : end + 1].strip() == ""
+    tokens = "a.b.c.d.e.f [at] x.de"  # eleven tokens before its at-sign
+    lattice = pii.Lattice(tokens, 0, len(tokens), [])
+    assert any(i == 0 and j == len(lattice.tokens) for i, j, _ in lattice.segments)
+    found = pii.regions("x" * 500 + "1" + "y" * 500 + "2" + "z" * 500 + " " + "w " * 200 + "3")
+    assert found[0] == (0, 1502) and len(found) == 2
+
+
 def test_long_digit_runs_in_dotted_numbers():
     assert not [x for x in pii.base_spans("1" * 5000 + ".1.1.1") if x[0] == "ip"]
     text = "0" * 5000 + "9.1.1.1"

@@ -93,14 +93,26 @@ def base_spans(text: str) -> list[Span]:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Disjoint stretches around digits and at-signs, that begin and end beside white space where there is some near."""
+    """Disjoint stretches around digits and at-signs, widened to white space or an end of the text."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
         if out and m.start() - out[-1][1] <= APART + 2 * AROUND:
             out[-1][1] = m.end()
         else:
             out.append([m.start(), m.end()])
-    return [(max(0, a - AROUND), min(len(text), b + AROUND)) for a, b in out]
+    wide: list[tuple[int, int]] = []
+    for a, b in out:
+        over, start = wide[-1][1] if wide else 0, max(0, a - AROUND)
+        while start > over and not text[start - 1].isspace():
+            start -= 1
+        end = max(over, min(len(text), b + AROUND))
+        while end < len(text) and not text[end].isspace():
+            end += 1
+        if wide and start <= over:
+            wide[-1] = (wide[-1][0], end)
+        else:
+            wide.append((start, end))
+    return wide
 
 
 class Lattice:
@@ -131,8 +143,6 @@ class Lattice:
                 if digits > MOST_DIGITS and not spelled:
                     break
                 spelled = spelled or w == "@" or (w == "at" and j > i)
-                if not numeric and not spelled and j - i > 8:
-                    break
                 if (numeric and digit and (digits >= LEAST_DIGITS or dots == 3)) or (spelled and j - i >= 4 and w[0].isalnum() and w != "at"):
                     self.segments.append((i, j + 1, self.rows(text, i, j + 1)))
 
