@@ -575,6 +575,16 @@ def test_each_training_document_teaches(spark):
         assert model.classes.any() and model.members.any()
 
 
+def test_words_of_classes_by_exact_counts(spark, monkeypatch):
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choice("abcdefgh") for _ in range(30)) + f" w{i}", "en", "s") for i in range(40)]
+    want = sorted(rows_of(lm.scored(table(spark, rows).coalesce(1))))
+    monkeypatch.setattr(lm, "SAMPLE_DOCS", 0)
+    got = sorted(rows_of(lm.scored(table(spark, rows).coalesce(1))))
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-6)
+
+
 def test_sums_between_edges():
     rnd = np.random.default_rng(5)
     values, row = rnd.normal(size=(500, 7)), np.sort(rnd.zipf(1.5, 2000))

@@ -10,7 +10,8 @@ are averaged, weight row by weight row.  The slices of all rounds together hold
 
 Counts are exact and over all training documents.  Frequent words (by a sample; which these are changes no result) are
 counted in place; all others go by word through one shuffle, where each is counted and its count handed back to the
-documents that hold it.
+documents that hold it.  Each partition of words hands its most frequent ones to the driver too, so that the words of
+the classes are the most frequent of all by exact counts, in the sample or not.
 
 Defined results:
 - null text is empty: the end is its only token; an empty table gives an empty result;
@@ -39,14 +40,16 @@ HEAD, CLASSES, MEMBERS, ROWS = 1 << 16, 64, 64, 1 << 13
 SAMPLE_DOCS = 4_000
 #: Rounds of training, each over its own slice of the training documents.
 ROUNDS, RATE = 4, 0.15
+SIGN = np.uint64(1 << 63)
 START, END = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 STEP, FLUSH, RECORDS, CHUNK = 4 << 20, 1_000_000, 2_000_000, 1 << 13
 RECORD = np.dtype([("word", "<u8"), ("doc", "<u8"), ("n", "<u4"), ("train", "<u1")])
 #: What a partition of words hands back to a document; counters of the head that travel together.
 BACK = np.dtype([("doc", "<u8"), ("tail", "<f8"), ("known", "<u4")])
+PAIR = np.dtype([("word", "<u8"), ("n", "<i8")])
 BLOCK = 1 << 10
 FEW = 8
-HEADS, SIZES, BACKS = 0, 1, 2
+HEADS, SIZES, BACKS, BEST = 0, 1, 2, 3
 
 
 def word_pieces(data: np.ndarray, offsets: np.ndarray, most: int = STEP) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
@@ -108,6 +111,16 @@ class Head:
     def __init__(self, words: np.ndarray):
         self.table = KeyTable(np.unique(np.append(words, END)))
         self.counts = np.zeros(len(self.table.keys), np.int64)
+        #: Words that were not counted in place: documents have their share of these by the shuffle.
+        self.tailed = np.zeros(len(self.table.keys), bool)
+
+    def joined(self, best: np.ndarray) -> Head:
+        """This head with the PAIRs of words that were counted by the shuffle."""
+        out = Head(np.append(self.table.keys, best["word"]))
+        out.counts[np.searchsorted(out.table.keys, self.table.keys)] = self.counts
+        place = np.searchsorted(out.table.keys, best["word"])
+        out.counts[place], out.tailed[place] = best["n"], True
+        return out
 
 
 def prepared(docs: DataFrame) -> DataFrame:
@@ -133,9 +146,9 @@ def head_words(docs: DataFrame) -> Head:
     return Head(np.array([r["word"] for r in top], np.int64).view(np.uint64))
 
 
-def counted(docs: DataFrame, head: Head, words: float) -> tuple[DataFrame, int, int, int, int]:
+def counted(docs: DataFrame, head: Head, words: float) -> tuple[DataFrame, int, int, int, int, np.ndarray]:
     """Fills in the head's counts; a table doc, tail (sum of log10(c + 1) over its rare words), known; then training
-    tokens, distinct tokens, and both of the rare words alone."""
+    tokens, distinct tokens, both of the rare words alone, and the most frequent of the rare words."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(head)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(words / 4 / RECORDS) + 1)
@@ -198,9 +211,14 @@ def counted(docs: DataFrame, head: Head, words: float) -> tuple[DataFrame, int,
             return
         rows = np.concatenate(held)
         held.clear()
-        _, word = np.unique(rows["word"], return_inverse=True)
+        keys, word = np.unique(rows["word"], return_inverse=True)
         count = np.bincount(word, rows["n"] * rows["train"]).astype(np.int64)
         yield made(SIZES, [0], [np.array([count.sum(), (count > 0).sum()]).tobytes()])
+        top = np.lexsort((keys, -count))[: CLASSES * MEMBERS]
+        top = top[count[top] > 0]
+        best = np.empty(len(top), PAIR)
+        best["word"], best["n"] = keys[top], count[top]
+        yield made(BEST, [0], [best.tobytes()])
         doc, of = np.unique(rows["doc"], return_inverse=True)
         back = np.empty(len(doc), BACK)
         back["doc"], back["known"] = doc, np.bincount(of, rows["n"] * (count[word] > 0))
@@ -227,6 +245,13 @@ def counted(docs: DataFrame, head: Head, words: float) -> tuple[DataFrame, int,
                 s = slice(i, i + 50_000)
                 yield pa.RecordBatch.from_arrays([pa.array(doc[s].view(np.int64)), *[pa.array(x[s]) for x in sums]], names=["doc", "tail", "tail_known"])
 
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column("blob"):
+                rows = np.frombuffer(blob.as_buffer(), PAIR)
+                word = (rows["word"] ^ SIGN).view(np.int64)  # signed order is that of the hashes
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(rows["n"].copy())], names=["word", "n"])
+
     blobs = docs.select("_doc", "held_out", "_text").mapInArrow(emit, "part int, blob binary")
     table = written(blobs.repartition(parts, "part").mapInArrow(meet, "kind int, part int, blob binary"), "words")
     for r in table.filter(F.col("kind") == HEADS).collect():
@@ -234,8 +259,13 @@ def counted(docs: DataFrame, head: Head, words: float) -> tuple[DataFrame, int,
         head.counts[i : i + BLOCK] = np.frombuffer(r["blob"], np.int64)
     rare = [np.frombuffer(r["blob"], np.int64) for r in table.filter(F.col("kind") == SIZES).collect()]  # a row for each partition
     rare_n, rare_v = (int(x) for x in np.sum(rare, axis=0)) if rare else (0, 0)
+    found = table.filter(F.col("kind") == BEST).select("blob").mapInArrow(pairs, "word long, n long")
+    found = found.orderBy(F.desc("n"), "word").limit(CLASSES * MEMBERS).collect()
+    best = np.empty(len(found), PAIR)
+    best["word"] = np.array([r["word"] for r in found], np.int64).view(np.uint64) ^ SIGN
+    best["n"] = [r["n"] for r in found]
     sums = table.filter(F.col("kind") == BACKS).select("part", "blob").repartition(backs, "part").mapInArrow(gather, "doc long, tail double, tail_known double")
-    return sums, rare_n + int(head.counts.sum()), rare_v + int((head.counts > 0).sum()), rare_n, rare_v
+    return sums, rare_n + int(head.counts.sum()), rare_v + int((head.counts > 0).sum()), rare_n, rare_v, best
 
 
 class MaxEnt:
@@ -418,15 +448,20 @@ def scored(docs: DataFrame) -> DataFrame:
     docs = prepared(docs)
     words = (docs.agg(F.sum(F.length("_text"))).first()[0] or 0) / 6
     head = head_words(docs)
-    sums, train_n, train_v, rare_n, rare_v = counted(docs, head, words)
+    sums, train_n, train_v, rare_n, rare_v, best = counted(docs, head, words)
+    head, rare_n, rare_v = head.joined(best), rare_n - int(best["n"].sum()), rare_v - len(best)
     model = trained(docs, MaxEnt(head, rare_n)) if train_n else MaxEnt(head, rare_n)
     # counts of the rare class: all words but the model's top ones
     inside = model.place[:-1] < CLASSES * MEMBERS
     rest = (rare_n + int(head.counts[~inside].sum()), rare_v + int((head.counts[~inside] > 0).sum()))
-    shared = spark.sparkContext.broadcast((model, np.append(np.log10(head.counts + 1.0), 0.0), np.append(head.counts > 0, False)))
+    logs = np.log10(head.counts + 1.0)
+    # what documents get by the shuffle is not added here, and taken off the score where the model has the word
+    own_logs, again = np.where(head.tailed, 0.0, logs), np.where(head.tailed & inside, logs, 0.0)
+    known = (head.counts > 0) & ~head.tailed
+    shared = spark.sparkContext.broadcast((model, np.append(own_logs, 0.0), np.append(known, False), np.append(again, 0.0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, logs, known = shared.value
+        own, logs, known, again = shared.value
         for batch in batches:
             count = len(batch)
             tokens, base, seen, score, rare = (np.zeros(count) for _ in range(5))
@@ -441,6 +476,7 @@ def scored(docs: DataFrame) -> DataFrame:
                 got, few = own.log_probability(token, before)
                 got = got / np.log(10)
                 got[few] += logs[place[few]]
+                got -= again[place]
                 score[first:last] += np.bincount(row, got, minlength=size)
                 rare[first:last] += np.bincount(row, few, minlength=size)
             columns = [batch.column("doc_id"), batch.column("held_out"), batch.column("_doc")]
