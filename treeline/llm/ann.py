@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeline.llm.common import hashed_unit, long_id, small_batches, written
+from treeline.llm.common import hashed_unit, long_id, sliced, written
 
 NEAREST, CENTRES = 20, 16
 #: Standard deviations of a random cosine from which a query counts as near, for the weight of the parallel residual.
@@ -196,7 +196,6 @@ def matrix(column: pa.Array, dim: int, kind: type) -> np.ndarray:
 def indexed(vectors: DataFrame) -> tuple[DataFrame, Quantiser | None]:
     """A table vec_id, vector (bytes of float32 or, if these lose anything, float64), codes, of all usable rows."""
     spark = vectors.sparkSession
-    small_batches(spark, 4096)
     rows = vectors.select(long_id(vectors, "vec_id").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & usable())
     dims = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if dims is None:
@@ -212,7 +211,7 @@ def indexed(vectors: DataFrame) -> tuple[DataFrame, Quantiser | None]:
     shared = spark.sparkContext.broadcast(quantiser)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 4096):
             if len(batch):
                 x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
                 codes = shared.value.packed(x.astype(np.float64))
@@ -245,7 +244,7 @@ def searched(vectors: DataFrame, every: int = 20, nearest: int = NEAREST) -> Dat
 
         def look(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
             best, held = None, []
-            for batch in batches:
+            for batch in sliced(batches, 4096):
                 if len(batch):
                     held.append((batch.column("vec_id").to_numpy(), matrix(batch.column("vector"), dim, kind), matrix(batch.column("codes"), quantiser_bytes, np.uint8)))
                 if sum(len(x) for x, _, _ in held) >= BLOCK:

@@ -26,7 +26,7 @@ import tiktoken
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm.common import long_id, small_batches, text_or_empty
+from treeline.llm.common import long_id, sliced, text_or_empty
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CHUNK, OVERLAP = 1 << 15, 1 << 9
@@ -132,11 +132,10 @@ def coder(of: Broadcast) -> ByteBPE:
 
 def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, tokens (ids)."""
-    small_batches(docs.sparkSession)
     of = shared(docs.sparkSession, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [coder(of).encode(t) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))],
@@ -153,7 +152,7 @@ def decoded(rows: DataFrame, path: str | None = None, pattern: str | None = None
     of = shared(rows.sparkSession, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             raw = [coder(of).decode(ids or []) for ids in batch.column("tokens").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(raw, pa.binary()), pa.array([r.decode("utf-8", "replace") for r in raw], pa.string())],
@@ -165,11 +164,10 @@ def decoded(rows: DataFrame, path: str | None = None, pattern: str | None = None
 
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: each text is encoded and its ids are decoded, in one pass."""
-    small_batches(docs.sparkSession)
     of = shared(docs.sparkSession, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             count, of_ids, of_bytes = [], [], []
             for text in batch.column("_text"):
                 ids = coder(of).encode(text.as_py())

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Tokenizer, pre_tokenizers, processors
 
-from treeline.llm.common import long_id, small_batches
+from treeline.llm.common import long_id, sliced
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Marks around a turn of each role; of any other role, whose name comes between the first two.
@@ -137,7 +137,7 @@ class Formatter:
         """The parts of conversations whose rows come sorted, with whether a conversation ends; holds one part at most."""
         turns: list[tuple[str, str]] = []
         conv, number, size, begun = None, 0, 0, False
-        for batch in batches:
+        for batch in sliced(batches):
             for key, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
                 if begun and key != conv:
                     yield self.part(conv, number, turns), True
@@ -168,7 +168,6 @@ def shared(spark: SparkSession, path: str | None = None) -> Broadcast:
 
 def ordered(rows: DataFrame) -> DataFrame:
     """Each conversation's rows together, sorted; the sort spills, so no conversation is too long for it."""
-    small_batches(rows.sparkSession)
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")]
     rows = rows.select(long_id(rows, "conv_id").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *text)
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,9 +16,11 @@ SPACES = r"\x20\x09-\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder every executor can reach (spark.checkpoint.dir); where it is unset, a temporary one in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="treeline-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -28,10 +32,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/treeline-{name}-{uuid.uuid4().hex[:12]}"
 
 
+_scratch: list[str] = []
+
+
+def cleared(spark: SparkSession) -> int:
+    """Deletes the scratch tables that this process has written, once no result that reads them is needed any more."""
+    jvm, count = spark.sparkContext._jvm, len(_scratch)
+    while _scratch:
+        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return count
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: lineage ends there, any executor may be lost."""
     spark = df.sparkSession
     path = scratch(spark, name)
+    _scratch.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -50,11 +67,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds the rows of an Arrow batch: a Python worker holds one batch of whole texts at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Each Arrow batch in slices of at most ``rows`` rows and about ``size`` bytes: bounds what Python makes of one."""
+    for batch in batches:
+        step = max(1, min(rows, int(len(batch) * size / max(batch.nbytes, 1))))
+        for at in range(0, len(batch), step):
+            yield batch.slice(at, step)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

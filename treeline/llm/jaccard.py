@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.llm.arrays import byte_column, mix, spans_of_bytes
-from treeline.llm.common import dropped, fresh, joined_by_group, long_id, small_batches, text_or_empty, written
+from treeline.llm.common import dropped, fresh, joined_by_group, long_id, sliced, text_or_empty, written
 from treeline.llm.components import components
 from treeline.llm.shingles import shingle_sets
 
@@ -111,7 +111,7 @@ def counted(docs: DataFrame) -> Frequencies:
             some = np.flatnonzero(raw.any(axis=1))
             return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pa.compress(raw[i], "zstd", asbytes=True) for i in some], pa.binary())], names=["block", "counts"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for _, tokens, _ in each_set(batch):
                 np.add.at(own, (tokens >> np.uint64(64 - bits)).astype(np.int64), np.uint16(1))
             rows += len(batch)
@@ -217,7 +217,7 @@ def indexed(docs: DataFrame, of: Frequencies, size: float) -> DataFrame:
                 some.clear()
             return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "kind", "blob"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             ids = batch.column("doc_id")
             for first, tokens, at in each_set(batch):
                 sig, n = signatures(tokens, at), np.diff(at)
@@ -338,7 +338,7 @@ def sets_of(docs: DataFrame, sigs: DataFrame) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = shared.value, set()
-        for batch in batches:
+        for batch in sliced(batches):
             for _, tokens, at in each_set(batch):
                 sig = signatures(tokens, at)
                 place = (mix(sig) >> np.uint64(64 - bits)).astype(np.int64)
@@ -362,7 +362,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             good = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -449,7 +449,7 @@ def block_links(rows: DataFrame, keys: list[str]) -> DataFrame:
             a, b = np.array([sig[i] for i, _ in links], np.int64), np.array([sig[j] for _, j in links], np.int64)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             columns = [batch.column(c).to_pylist() for c in (*keys, "sig", "tokens", "comp", "asks")]
             for *own, s, raw, comp, ask in zip(*columns, strict=True):
                 if own != key:
@@ -501,7 +501,6 @@ def clustered(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
-    small_batches(docs.sparkSession)
     docs = docs.select(long_id(docs).alias("doc_id"), text_or_empty().alias("_text"))
     of = counted(docs)
     size = docs.agg(F.sum(F.length("_text"))).first()[0] or 0

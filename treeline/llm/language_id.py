@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.llm.arrays import KeyTable, byte_column, spans_of_bytes
-from treeline.llm.common import fold, hashed_unit, long_id, small_batches, text_or_empty
+from treeline.llm.common import fold, hashed_unit, long_id, sliced, text_or_empty
 
 ORDER = 4
 UNIT = 1 << 16
@@ -163,14 +163,13 @@ def learned(docs: DataFrame, chars: int = SAMPLE_CHARS, total: int = SAMPLE_TOTA
 def predicted(docs: DataFrame, trees: ContextTrees, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` with lang_pred and score."""
     spark = docs.sparkSession
-    small_batches(spark)
     model = spark.sparkContext.broadcast(trees)
     letters = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(*[F.col(c) for c in keep], text_or_empty().alias("_text"), letters.alias("_letters"))
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             data, offsets = byte_column(batch.column("_text"))
             found = batch.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
             langs, score = model.value.answers(data, offsets, found)

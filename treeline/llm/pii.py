@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.common import hashed_unit, long_id, small_batches, text_or_empty
+from treeline.llm.common import hashed_unit, long_id, sliced, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens of the longest entity; feature rows (a power of two); documents in the sample, none longer than so many characters.
@@ -321,11 +321,10 @@ def written_out(spans: list[Span]) -> str:
 
 def found(docs: DataFrame, field: SemiMarkov | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 (of the base spans), spans (all), n_added of every row."""
-    small_batches(docs.sparkSession)
     of = docs.sparkSession.sparkContext.broadcast(field or learned(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             counts, digest, every, more = [[] for _ in KINDS], [], [], []
             for text in batch.column("_text"):
                 base, spans = of.value.spans(text.as_py())

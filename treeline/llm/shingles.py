@@ -30,21 +30,27 @@ def powers(count: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:count], _powers[1][:count]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order; for each row, the place of its first word (and, last, the count of words)."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins, and the place after its end, in order; no word spans two rows."""
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = ~_SPACE[data]
     edge = np.zeros(len(data), bool)
     starts_of_rows = offsets[:-1][np.diff(offsets) > 0]
     edge[1:] = inside[1:] & ~inside[:-1]
     edge[starts_of_rows] = inside[starts_of_rows]
-    begins = np.flatnonzero(edge)
     over = np.zeros(len(data), bool)
     over[:-1] = inside[:-1] & ~inside[1:]
     lasts = offsets[1:][np.diff(offsets) > 0] - 1
     over[lasts] = inside[lasts]
-    ends = np.flatnonzero(over) + 1
+    return np.flatnonzero(edge), np.flatnonzero(over) + 1
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, bounds: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order; for each row, the place of its first word (and, last, the count of words)."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    begins, ends = bounds or word_bounds(data, offsets)
     up, down = powers(len(data) + 1)
     total = np.cumsum((_LOWER[data] + np.uint64(1)) * up[: len(data)])
     before = np.where(begins > 0, total[begins - 1], 0).astype(np.uint64)
@@ -52,6 +58,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return hashes, np.searchsorted(begins, offsets).astype(np.int64)
 
 
+def word_endings(data: np.ndarray, bounds: tuple[np.ndarray, np.ndarray], buckets: int) -> np.ndarray:
+    """A bucket (of a power of two) for the last three bytes of each word."""
+    begins, ends = bounds
+    code = np.zeros(len(ends), np.uint64)
+    for k in range(1, 4):
+        code = (code << np.uint64(8)) | np.where(ends - k >= begins, _LOWER[data[np.maximum(ends - k, 0)]], 0).astype(np.uint64)
+    return (mix(code + np.uint64(1)) >> np.uint64(65 - buckets.bit_length())).astype(np.int32)
+
+
 def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of each shingle of ``width`` words; a row of fewer words (one at least) has one shingle, the whole."""
     count = np.diff(first)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.llm.arrays import byte_column, spans_of_bytes
-from treeline.llm.common import fold, hashed_unit, long_id, small_batches, text_or_empty
+from treeline.llm.common import fold, hashed_unit, long_id, sliced, text_or_empty
 
 #: Embedding rows (a power of two), their width, n-gram lengths, words in a half window.
 BUCKETS, WIDTH, LENGTHS, HALF = 1 << 18, 8, (3, 4, 5, 6), 1
@@ -223,12 +223,11 @@ def learned(docs: DataFrame, labels: DataFrame, docs_each: int = SAMPLE_DOCS, lo
 
 def scored(docs: DataFrame, model: SubwordBag, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` with score and predicted."""
-    small_batches(docs.sparkSession)
     of = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             score = of.value.score(*byte_column(batch.column("_text")))
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in keep], pa.array(score, pa.float64()), pa.array((score >= THRESHOLD).astype(np.int32))],
