@@ -29,32 +29,36 @@ from pyspark.sql import DataFrame, SparkSession
 from treeline.llm.common import long_id, sliced, text_or_empty
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-CHUNK, OVERLAP = 1 << 15, 1 << 9
+CHUNK, OVERLAP = 1 << 12, 1 << 8
 #: A boundary this far before a chunk's end doesn't depend on what follows: no alternative looks further ahead.
 LOOK = 8
 #: Pre-tokens of up to so many characters are remembered, so many at most.
 SHORT, REMEMBERED = 32, 200_000
 THREADS = 2
+#: Texts of more chunks than this are pre-tokenised by the threads.
+CHUNKS_POOLED = 16
 
 
 def pre_tokens(text: str, pattern: regex.Pattern, begin: int, end: int) -> list[tuple[int, int]]:
     """Matches in text[begin:end] as if nothing else were there; places are those in ``text``."""
-    return [(a + begin, b + begin) for a, b in (m.span() for m in pattern.finditer(text[begin:end]))]
+    return [(m.start() + begin, m.end() + begin) for m in pattern.finditer(text[begin:end], concurrent=True)]
 
 
 def stitched(text: str, pattern: regex.Pattern, chunk: int = CHUNK, overlap: int = OVERLAP, pool: ThreadPoolExecutor | None = None) -> list[tuple[int, int]]:
-    """The matches of ``pattern`` in the whole text, by overlapping chunks."""
+    """The matches of ``pattern`` in the whole text, by overlapping chunks.
+
+    Where chunks have no common boundary, a stretch from the last sure one is matched again; each such stretch is at
+    least twice as long as what it replaces, so the work stays in proportion to the text.
+    """
     size = len(text)
-    cuts = [(at, min(size, at + chunk + overlap)) for at in range(0, size, chunk)]
-    if len(cuts) < 2:
-        return pre_tokens(text, pattern, 0, size)
-    parts = list((pool.map if pool else map)(lambda cut: pre_tokens(text, pattern, *cut), cuts))
-    out, limit = parts[0], cuts[0][1]
-    for (begin, end), part in zip(cuts[1:], parts[1:], strict=True):
+    cuts = [(at, min(size, at + chunk + overlap)) for at in range(0, max(size, 1), chunk)]
+    parts = list((pool.map if pool and len(cuts) > CHUNKS_POOLED else map)(lambda cut: pre_tokens(text, pattern, *cut), cuts))
+    out, limit, n = parts[0], cuts[0][1], 1
+    while limit < size:
+        (begin, end), part = cuts[n], parts[n]
         starts = {a: i for i, (a, _) in enumerate(part)}
-        firm = limit if limit == size else limit - LOOK
         keep = len(out)
-        while keep and out[keep - 1][1] > firm:
+        while keep and out[keep - 1][1] > limit - LOOK:
             keep -= 1
         last, meet = keep, None
         while last and out[last - 1][1] > begin:  # the meeting place nearest the end serves as well as the first
@@ -62,18 +66,18 @@ def stitched(text: str, pattern: regex.Pattern, chunk: int = CHUNK, overlap: int
                 meet = last
                 break
             last -= 1
-        if limit == size:
-            continue
         if meet is None:
-            # no common boundary: go on from the last sure one, over this chunk too
             from_ = out[keep - 1][1] if keep else 0
+            while cuts[n][1] < min(size, from_ + 2 * (limit - from_)):
+                n += 1
+            end = cuts[n][1]
             del out[keep:]
             out += pre_tokens(text, pattern, from_, end)
         else:
             at = out[meet - 1][1]
             del out[meet:]
             out += part[starts[at] :]
-        limit = end
+        limit, n = end, n + 1
     return out
 
 
@@ -82,7 +86,8 @@ class ByteBPE:
 
     def __init__(self, source: bytes, pattern: str):
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in source.splitlines() if line)}
-        self.core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        #: Merges what it is given as one piece; pre-tokens are found here.
+        self.core = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self.raw = {i: b for b, i in ranks.items()}
         self.pattern = regex.compile(pattern)
         self.known: dict[str, tuple[int, ...]] = {}
@@ -91,7 +96,7 @@ class ByteBPE:
     def piece(self, text: str) -> tuple[int, ...]:
         """The ids of one pre-token."""
         if (ids := self.known.get(text)) is None:
-            ids = tuple(self.core._encode_single_piece(text.encode("utf-8", "replace")))
+            ids = tuple(self.core.encode_ordinary(text))
             if len(text) <= SHORT:
                 if len(self.known) >= REMEMBERED:
                     self.known.clear()
@@ -101,11 +106,8 @@ class ByteBPE:
     def encode(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
         out: list[int] = []
         known, more = self.known, out.extend
-        if len(text) <= chunk:
-            tokens = self.pattern.findall(text)
-        else:
-            tokens = [text[a:b] for a, b in stitched(text, self.pattern, chunk, overlap, self.pool)]
-        for token in tokens:
+        for a, b in stitched(text, self.pattern, chunk, overlap, self.pool):
+            token = text[a:b]
             more(known.get(token) or self.piece(token))
         return out
 

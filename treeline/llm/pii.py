@@ -19,8 +19,10 @@ Defined results:
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -41,6 +43,8 @@ LEAST_DIGITS, MOST_DIGITS = 7, 20
 #: Log-odds that an added span must have over other text.
 MARGIN = 2.0
 AROUND, APART = 32, 24
+#: Tokens whose candidates are scored together.
+TOKENS = 1 << 12
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -115,40 +119,73 @@ def regions(text: str) -> list[tuple[int, int]]:
     return wide
 
 
-class Lattice:
-    """The tokens of a region and its candidate segments: (first token, token after the last, feature rows)."""
-
-    def __init__(self, text: str, begin: int, end: int, fixed: list[Span]):
-        self.tokens = [(m.start() + begin, m.end() + begin, m[0]) for m in _TOKEN.finditer(text[begin:end])]
-        self.segments: list[tuple[int, int, list[int]]] = []
-        taken = [any(a < e and b > s for _, s, e in fixed) for a, b, _ in self.tokens]
-        count = len(self.tokens)
-        for i in range(count):
-            word = self.tokens[i][2]
-            if taken[i] or not (word[0].isalnum() or word in "+("):
-                continue
-            numeric = word[0] in "+(" or "0" <= word[0] <= "9"
-            spelled, gaps, digits, dots = False, 0, 0, 0
-            for j in range(i, min(count, i + LONGEST)):
-                a, b, w = self.tokens[j]
-                if taken[j]:
-                    break
-                if j > i and (gap := a - self.tokens[j - 1][1]):
-                    gaps += 1
-                    if gap > 1 or gaps > 8:
-                        break
-                digit = "0" <= w[0] <= "9"
-                numeric = numeric and (digit or w in _NUMERIC)
-                digits, dots = digits + digit * len(w), dots + (w == ".")
-                if digits > MOST_DIGITS and not spelled:
-                    break
-                spelled = spelled or w == "@" or (w == "at" and j > i)
-                if (numeric and digit and (digits >= LEAST_DIGITS or dots == 3)) or (spelled and j - i >= 4 and w[0].isalnum() and w != "at"):
-                    self.segments.append((i, j + 1, self.rows(text, i, j + 1)))
+Token = tuple[int, int, str]
+Segment = tuple[int, int, list[int]]
+
 
-    def rows(self, text: str, i: int, j: int) -> list[int]:
-        a, b = self.tokens[i][0], self.tokens[j - 1][1]
-        return feature_rows(text[a:b], text[a - 1] if a else " ", text[b : b + 2], self.tokens[i - 1][2].lower()[:20] if i else "", j - i)
+class Covered:
+    """Which stretches of a text some spans cover."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, a, b in sorted(spans, key=lambda x: x[1]):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def touches(self, a: int, b: int) -> bool:
+        n = bisect.bisect_left(self.starts, b)
+        return n > 0 and self.ends[n - 1] > a
+
+
+def candidates(text: str, tokens: list[Token], taken: list[bool], first: int, last: int) -> Iterator[Segment]:
+    """Segments (first token, token after the last, feature rows) that may be entities and begin at tokens first to last - 1."""
+    count = len(tokens)
+    for i in range(first, last):
+        word = tokens[i][2]
+        if taken[i] or not (word[0].isalnum() or word in "+("):
+            continue
+        numeric = word[0] in "+(" or "0" <= word[0] <= "9"
+        spelled, gaps, digits, dots = False, 0, 0, 0
+        for j in range(i, min(count, i + LONGEST)):
+            a, _, w = tokens[j]
+            if taken[j]:
+                break
+            if j > i and (gap := a - tokens[j - 1][1]):
+                gaps += 1
+                if gap > 1 or gaps > 8:
+                    break
+            digit = "0" <= w[0] <= "9"
+            numeric = numeric and (digit or w in _NUMERIC)
+            digits, dots = digits + digit * len(w), dots + (w == ".")
+            if digits > MOST_DIGITS and not spelled:
+                break
+            spelled = spelled or w == "@" or (w == "at" and j > i)
+            if (numeric and digit and (digits >= LEAST_DIGITS or dots == 3)) or (spelled and j - i >= 4 and w[0].isalnum() and w != "at"):
+                yield i, j + 1, rows_of(text, tokens, i, j + 1)
+
+
+def rows_of(text: str, tokens: list[Token], i: int, j: int) -> list[int]:
+    a, b = tokens[i][0], tokens[j - 1][1]
+    return feature_rows(text[a:b], text[a - 1] if a else " ", text[b : b + 2], tokens[i - 1][2].lower()[:20] if i else "", j - i)
+
+
+def lattices(text: str, begin: int, end: int, covered: Covered) -> Iterator[tuple[list[Token], list[Segment]]]:
+    """Tokens of a region and its candidates, some tokens at a time: each part's tokens begin with the one before its
+    first start, but for the region's first, and go LONGEST beyond its last."""
+    stream = ((m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text, begin, end))
+    tokens, first = list(itertools.islice(stream, TOKENS + LONGEST)), 0
+    while tokens:
+        last = min(len(tokens), first + TOKENS)
+        taken = [covered.touches(a, b) for a, b, _ in tokens]
+        yield tokens, list(candidates(text, tokens, taken, first, last))
+        if last == len(tokens):
+            return
+        tokens = tokens[last - 1 :] + list(itertools.islice(stream, TOKENS))
+        first = 1
 
 
 @functools.lru_cache(20_000)
@@ -177,44 +214,65 @@ class SemiMarkov:
     def __init__(self, weights: np.ndarray):
         self.weights = weights
 
-    def best(self, lattice: Lattice) -> list[Span]:
-        """The entities of the best segmentation, by dynamic programming over token positions."""
-        if not lattice.segments:
+    def likely(self, segments: list[Segment]) -> list[tuple[int, int, int, float]]:
+        """First token, token after the last, kind and log-odds of the segments that beat other text."""
+        if not segments:
             return []
-        scores = self.weights[np.array([r for _, _, r in lattice.segments])].sum(axis=1) - MARGIN
+        scores = self.weights[np.array([r for _, _, r in segments])].sum(axis=1) - MARGIN
         kind = scores.argmax(axis=1)
-        count = len(lattice.tokens)
-        value, back = [0.0] * (count + 1), [None] * (count + 1)
-        ending: dict[int, list[int]] = {}
-        for n, (_, j, _) in enumerate(lattice.segments):
-            if scores[n, kind[n]] > 0:
-                ending.setdefault(j, []).append(n)
-        for t in range(1, count + 1):
-            value[t] = value[t - 1]
-            for n in ending.get(t, ()):
-                if (v := value[lattice.segments[n][0]] + scores[n, kind[n]]) > value[t]:
-                    value[t], back[t] = v, n
-        out, t = [], count
-        while t:
-            if back[t] is None:
-                t -= 1
-            else:
-                i, j, _ = lattice.segments[back[t]]
-                out.append((KINDS[kind[back[t]]], lattice.tokens[i][0], lattice.tokens[j - 1][1]))
-                t = i
-        return out[::-1]
+        best = scores[np.arange(len(kind)), kind]
+        return [(*segments[n][:2], int(kind[n]), float(best[n])) for n in np.flatnonzero(best > 0)]
+
+    def entities(self, text: str, begin: int, end: int, covered: Covered) -> list[Span]:
+        """The entities of a region's best segmentation.  Stretches that no likely segment crosses are solved by themselves."""
+        out: list[Span] = []
+        held: list[tuple[int, int, int, float]] = []  # likely segments that overlap, as characters
+        over = 0
+        for tokens, segments in lattices(text, begin, end, covered):
+            for i, j, kind, score in self.likely(segments):
+                a, b = tokens[i][0], tokens[j - 1][1]
+                if held and a >= over:
+                    out += best(held)
+                    held = []
+                held.append((a, b, kind, score))
+                over = max(over, b) if len(held) > 1 else b
+        return out + best(held)
 
     def spans(self, text: str) -> tuple[list[Span], list[Span]]:
         """Base spans, and those with the added ones; each by kind, then start."""
         base = base_spans(text)
-        added = []
+        covered, added = Covered(base), []
         for begin, end in regions(text):
-            near = [x for x in base if x[1] < end and x[2] > begin] if base else []
-            added += self.best(Lattice(text, begin, end, near))
+            added += self.entities(text, begin, end, covered)
         order = {k: i for i, k in enumerate(KINDS)}
         return base, sorted(base + added, key=lambda x: (order[x[0]], x[1], x[2]))
 
 
+def best(segments: list[tuple[int, int, int, float]]) -> list[Span]:
+    """The disjoint segments (start, end, kind, log-odds above 0) of the greatest sum, by dynamic programming over their
+    ends; of equal sums the one with other text, then the one that begins first."""
+    ends = sorted({b for _, b, _, _ in segments})
+    value, back = [0.0], [None]
+    by_end: dict[int, list[tuple[int, int, int, float]]] = {}
+    for x in segments:
+        by_end.setdefault(x[1], []).append(x)
+    for t, b in enumerate(ends, 1):
+        value.append(value[t - 1])
+        back.append(None)
+        for x in sorted(by_end[b]):
+            if (v := value[bisect.bisect_right(ends, x[0])] + x[3]) > value[t]:
+                value[t], back[t] = v, x
+    out, t = [], len(ends)
+    while t:
+        if back[t] is None:
+            t -= 1
+        else:
+            a, b, kind, _ = back[t]
+            out.append((KINDS[kind], a, b))
+            t = bisect.bisect_right(ends, a)
+    return out[::-1]
+
+
 def example(rnd: random.Random, words: list[str]) -> tuple[str, list[Span]]:
     """A line of text with entities, or things that look like them, and the entities' spans."""
     n = lambda k: "".join(rnd.choices("0123456789", k=k))
@@ -269,14 +327,14 @@ def trained(sample: list[str], examples: int = 2500, steps: int = 150, seed: int
         lines += [(t[a:b], [(k, s - a, e - a) for k, s, e in base if s >= a and e <= b]) for a, b in regions(t)]
     rows, start, stop, line, gold = [], [], [], [], []
     for n, (text, spans) in enumerate(lines[: 2 * examples]):
-        lattice = Lattice(text, 0, len(text), [])
         known = {(s, e): KINDS.index(k) for k, s, e in spans}
-        for i, j, r in lattice.segments:
+        tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text)]
+        for i, j, r in candidates(text, tokens, [False] * len(tokens), 0, len(tokens)):
             rows.append(r)
             start.append(i)
             stop.append(j)
             line.append(n)
-            gold.append(known.get((lattice.tokens[i][0], lattice.tokens[j - 1][1]), -1))
+            gold.append(known.get((tokens[i][0], tokens[j - 1][1]), -1))
     rows, start, stop, line, gold = map(np.array, (rows, start, stop, line, gold))
     weights, power = np.zeros((ROWS, len(KINDS))), np.full((ROWS, len(KINDS)), 1e-3)
     size, count = int(line.max()) + 1, int(stop.max()) + 1
