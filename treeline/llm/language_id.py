@@ -13,7 +13,7 @@ Defined results:
 - null texts and texts without a letter: ``und``, score 0; so is everything where no language was learned;
 - ties: the language first by code point;
 - repeated rows get the same answer, each; long texts are scored whole, in pieces with carried context;
-- rows with null lang teach nothing; an empty table gives an empty result; further columns are ignored.
+- rows with null lang teach nothing, repeated ones as much as one; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from treeline.llm.common import fold, hashed_unit, long_id, sliced, text_or_empt
 
 ORDER = 4
 UNIT = 1 << 16
-#: The learning sample: characters for each language, and for all of them; longer texts than an eighth of the first
-#: are not sampled.
+#: The learning sample: characters for each language, and for all of them; of a text longer than an eighth of the first
+#: a piece of that length is taken, from a hash-drawn place.
 SAMPLE_CHARS, SAMPLE_TOTAL = 600_000, 16_000_000
 #: A text's confidence is that of so many bytes of it.
 CONFIDENT_BYTES = 64
@@ -146,16 +146,22 @@ class ContextTrees:
 
 def learned(docs: DataFrame, chars: int = SAMPLE_CHARS, total: int = SAMPLE_TOTAL, order: int = ORDER) -> ContextTrees:
     """Trees from a hash-drawn sample of the rows of ``docs`` (text, lang, doc_id) of a bounded number of characters."""
-    rows = docs.filter("text is not null and lang is not null").withColumn("_n", F.length("text"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum("_n").alias("n")).collect() if r["n"]}
-    if not sizes:
+    rows = docs.filter("text is not null and lang is not null").withColumn("_n", F.length("text")).filter("_n > 0")
+    per = rows.groupBy("lang", F.floor(F.log2("_n")).alias("size")).agg(F.count(F.lit(1)).alias("rows"), F.sum("_n").alias("n")).collect()
+    langs = {r["lang"] for r in per}
+    if not langs:
         return ContextTrees({}, order)
-    each = min(chars, total // len(sizes))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, each / n)))])
-    rows = rows.filter((F.col("_n") > 0) & (F.col("_n") <= max(each // 8, 1)) & (hashed_unit("lang", key) < share[F.col("lang")]))
+    each = min(chars, total // len(langs))
+    longest = max(each // 8, 1)
+    sizes = {lang: sum(min(r["n"], r["rows"] * longest) for r in per if r["lang"] == lang) for lang in langs}
+    text = F.xxhash64("text").cast("string")
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text)
+    share = F.create_map(*[x for lang in sorted(sizes) for x in (F.lit(lang), F.lit(min(1.0, each / sizes[lang])))])
+    rows = rows.filter(hashed_unit("lang", key) < share[F.col("lang")])
+    begin = F.floor(hashed_unit("piece", text) * (F.greatest(F.col("_n") - longest, F.lit(0)) + 1)).cast("int") + 1
+    pieces = rows.select("lang", F.substring("text", begin, F.lit(longest)).alias("text")).distinct()
     samples: dict[str, list[str]] = {}
-    for r in rows.select("lang", "text").toLocalIterator():
+    for r in pieces.toLocalIterator():
         samples.setdefault(r["lang"], []).append(r["text"])
     return ContextTrees({k: sorted(v) for k, v in samples.items()}, order)
 

@@ -54,7 +54,7 @@ ROUNDS, RATE, SMOOTH, ONE = 4, 0.4, 3.0, 1 << 14
 SIGN = np.uint64(1 << 63)
 END = np.uint64(0xEB44ACCAB455D165)
 START = 1 << 30
-STEP, FLUSH, RECORDS = 4 << 20, 1_000_000, 2_000_000
+STEP, FLUSH, RECORDS = 2 << 20, 1_000_000, 2_000_000
 #: Tokens whose logits are held at once, and whose expectations are summed at once.
 CHUNK, TOGETHER = 1 << 14, 1 << 16
 RECORD = np.dtype([("word", "<u8"), ("doc", "<u8"), ("n", "<u4"), ("ending", "<u2"), ("train", "<u1")])

@@ -12,7 +12,7 @@ Defined results:
 - null and empty texts, and texts without words, get the score of the bias alone (a clean one);
 - labels: rows of null doc_id or null label teach nothing; of several labels for a document the largest counts;
 - without any toxic or any clean label everything scores 0;
-- repeated rows get the same answer, each; ties play no part; long texts are scored whole, in overlapping pieces;
+- repeated rows get the same answer, each; ties play no part; long texts are scored whole, in pieces cut between words;
 - an empty table gives an empty result; further columns are ignored.
 """
 
@@ -26,17 +26,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.arrays import byte_column, spans_of_bytes
-from treeline.llm.common import fold, hashed_unit, long_id, sliced, text_or_empty
+from treeline.llm.arrays import byte_column
+from treeline.llm.common import fold, hashed_unit, long_id, sliced, text_or_empty, written
 
 #: Embedding rows (a power of two), their width, n-gram lengths, words in a half window.
 BUCKETS, WIDTH, LENGTHS, HALF = 1 << 18, 8, (3, 4, 5, 6), 1
-#: The learning sample: documents of each label, none longer than so many characters.
-SAMPLE_DOCS, SAMPLE_LONGEST = 1_500, 4_000
+#: The learning sample: documents of each label, and characters of them; of a text longer than the last, a piece of that
+#: length is taken, from a hash-drawn place.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_LONGEST = 1_500, 6_000_000, 32_768
 THRESHOLD = 0.7
-STEP, LEAD = 1 << 20, 256
+STEP = 1 << 20
 _WORD = np.zeros(256, bool)
 _WORD[[*b"0123456789abcdefghijklmnopqrstuvwxyz", *range(128, 256)]] = True
+_INSIDE = _WORD.copy()
+_INSIDE[65:91] = True
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -49,6 +52,34 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def word_cuts(data: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tuple[int, int, int, int]]:
+    """Work of about ``most`` bytes: (first row, row after the last, from byte, to byte).  A longer row is cut after words;
+    each further piece of it begins with the last word of the one before, so that no pair of words is lost."""
+    row, rows = 0, len(offsets) - 1
+    while row < rows:
+        last = int(np.searchsorted(offsets, offsets[row] + most, side="right")) - 1
+        if last > row:
+            yield row, last, int(offsets[row]), int(offsets[last])
+            row = last
+            continue
+        at, over = int(offsets[row]), int(offsets[row + 1])
+        while True:
+            end = min(at + most, over)
+            while end < over and _INSIDE[data[end]]:
+                gap = np.flatnonzero(~_INSIDE[data[end : min(end + 4096, over)]])
+                end = end + int(gap[0]) if len(gap) else min(end + 4096, over)
+            yield row, row + 1, at, end
+            if end == over:
+                break
+            back = end
+            while back > at and not _INSIDE[data[back - 1]]:
+                back -= 1
+            while back > at and _INSIDE[data[back - 1]]:
+                back -= 1
+            at = back if back > at else end
+        row += 1
+
+
 def features(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of texts that begin at ``starts``: the bucket and half window of each n-gram; the text of each half window."""
     size = len(data)
@@ -102,9 +133,8 @@ class SubwordBag:
     def greatest(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The greatest window logit of each text, the bias at least."""
         out = np.full(len(offsets) - 1, self.bias)
-        for first, last, begin, end in spans_of_bytes(offsets, STEP):
-            lead = min(LEAD, begin - int(offsets[first]))  # of a cut text
-            owner, logit = self.windows(data[begin - lead : end], np.maximum(offsets[first:last] - (begin - lead), 0))
+        for first, last, begin, end in word_cuts(data, offsets, STEP):
+            owner, logit = self.windows(data[begin:end], np.maximum(offsets[first:last] - begin, 0))
             np.maximum.at(out, owner + first, logit)
         return out
 
@@ -204,20 +234,26 @@ def curved(model: SubwordBag, data: np.ndarray, offsets: np.ndarray, labels: np.
     return SubwordBag(model.logits, model.bias, float(slope), float(w[1] - slope * centre))
 
 
-def learned(docs: DataFrame, labels: DataFrame, docs_each: int = SAMPLE_DOCS, longest: int = SAMPLE_LONGEST) -> SubwordBag:
-    """A model from a hash-drawn, bounded sample of labelled documents."""
-    own = labels.select(long_id(labels).alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(
-        "doc_id is not null and toxic is not null"
-    )
-    sizes = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).filter("toxic in (0, 1)").collect()}
+def learned(docs: DataFrame, labels: DataFrame, docs_each: int = SAMPLE_DOCS, chars_each: int = SAMPLE_CHARS, longest: int = SAMPLE_LONGEST) -> SubwordBag:
+    """A model from a hash-drawn sample of labelled documents; documents and characters are bounded, texts of any length
+    may enter."""
+    own = labels.select(long_id(labels).alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
+    own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    sizes = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return trained([], np.zeros(0, int))
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, docs_each / n)))])
-    drawn = own.filter("toxic in (0, 1)").filter(hashed_unit("toxic", F.col("doc_id").cast("string")) < share[F.col("toxic")])
-    drawn = drawn.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # docs_each of each label, as drawn: bounded
-    rows = docs.select(long_id(docs).alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.length("text") <= longest)
-    rows = rows.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic")
-    sample = sorted({(r["doc_id"], r["text"], r["toxic"]) for r in rows.toLocalIterator()})
+    share = lambda most: F.create_map(*[x for k in (0, 1) for x in (F.lit(k), F.lit(min(1.0, most[k])))])[F.col("toxic")]
+    draw = hashed_unit("toxic", F.col("doc_id").cast("string"))
+    drawn = own.filter(draw < share({k: docs_each / n for k, n in sizes.items()}))  # docs_each of each label: bounded
+    text, size = F.col("text").cast("string"), F.length(F.col("text").cast("string"))
+    begin = F.floor(hashed_unit("piece", F.xxhash64(text).cast("string")) * (F.greatest(size - longest, F.lit(0)) + 1)).cast("int") + 1
+    rows = docs.filter(size > 0).select(long_id(docs).alias("doc_id"), F.substring(text, begin, F.lit(longest)).alias("text"))
+    rows = written(rows.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").distinct(), "labelled")
+    chars = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.sum(F.length("text")).alias("n")).collect()}
+    own_draw = hashed_unit("chars", F.concat_ws(":", F.col("doc_id").cast("string"), F.md5("text")))
+    few = rows.filter(own_draw < share({k: chars_each / chars.get(k, 1) for k in (0, 1)}))
+    sample = [tuple(r) for r in few.orderBy(own_draw, "doc_id").limit(4 * docs_each).collect()]  # one id may have many rows
+    sample.sort()
     return trained([t for _, t, _ in sample], np.array([y for _, _, y in sample], int), sizes[1] / sizes[0])
 
 
