@@ -165,6 +165,32 @@ def test_digest_index_grows(spark, tmp_path):
     assert again.rows().count() == 3
 
 
+def test_a_batch_run_again_is_its_own(spark):
+    index = exact_dedup.DigestIndex(spark, "digests_again", 4)
+    rows = [(i, f"text {i % 7}", "en", "s") for i in range(20)]
+    exact_dedup.exact_dedup(table(spark, [(90, "text 6", "en", "s")]), index, "monday")
+    want = sorted(rows_of(exact_dedup.exact_dedup(table(spark, rows), index, "tuesday")))
+    assert sum(r[3] for r in want) == 6 and index.rows().count() == 7
+    assert sorted(rows_of(exact_dedup.exact_dedup(table(spark, rows), index, "tuesday"))) == want and index.rows().count() == 7
+    assert not any(r[3] for r in rows_of(exact_dedup.exact_dedup(table(spark, rows), index, "wednesday")))
+    index.compact()
+    assert sorted(rows_of(exact_dedup.exact_dedup(table(spark, rows), index, "tuesday"))) == want
+    assert index.rows().count() == 7 and len(index.rows().inputFiles()) <= 4
+    index.drop()
+
+
+def test_index_side_is_not_shuffled(spark):
+    index = exact_dedup.DigestIndex(spark, "digests_planned", 4)
+    exact_dedup.exact_dedup(table(spark, [(i, f"t {i}", "en", "s") for i in range(50)]), index)
+    groups = exact_dedup.digests(table(spark, [(i, f"t {i}", "en", "s") for i in range(40, 90)])).groupBy("digest").agg({"doc_id": "min"})
+    new = index.lacking(groups)
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.index("digests_planned") - 400 :]
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and new.count() == 40
+    assert plan.count("Exchange hashpartitioning(digest") == 1 and "SelectedBucketsCount: 4 out of 4" in scan
+    index.drop()
+
+
 # -- mixing
 
 
