@@ -231,6 +231,17 @@ def test_mix(spark):
     assert {k: v for k, v in emitted.items() if k[0] is not None} == {k: v for k, v in copies.items() if v}
 
 
+def test_mix_of_many_sources(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i % 4), "en", None if i % 3 == 0 else f"s{i % 40}") for i in range(900)]
+    key = ["doc_id", "size", "source_size", "target", "copies", "taken"]
+    want = sorted(rows_of(source_mix.mixed(table(spark, rows)).select(*key)))
+    emitted = sorted(r["doc_id"] for r in source_mix.emitted(table(spark, rows)).collect())
+    monkeypatch.setattr(source_mix, "BROADCAST_SOURCES", 5)
+    assert sorted(rows_of(source_mix.mixed(table(spark, rows)).select(*key))) == want
+    out = source_mix.emitted(table(spark, rows))
+    assert sorted(r["doc_id"] for r in out.collect()) == emitted and out.columns == table(spark, rows).columns
+
+
 def test_mix_comes_near_its_targets(spark):
     rows = [(i, "w " * (1 + i % 17), "en", f"s{i % 7 if i % 2 else 0}") for i in range(7000)]
     got = source_mix.mixed(table(spark, rows)).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()

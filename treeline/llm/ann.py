@@ -4,9 +4,12 @@ Vectors are cut into subspaces of two dimensions, each with sixteen centroids.
 itself changes inner products with its near queries most, so that part of the residual weighs ``eta`` times the rest, in
 learning (by alternating assignment and weighted least squares, on a bounded sample) and in encoding (by coordinate
 descent).  A query's inner products with all centroids, as bytes, make its tables; a scan adds table entries for two
-codes at a time.  The best of each block of rows are scored exactly, on the original vectors in double precision.
+codes at a time.  The best of each block of rows are scored exactly, on the original vectors in double precision, summed
+in order of dimension.
 
-Every row is indexed, queries are answered in blocks against all rows; a block of queries has a bounded size.
+Every row is indexed, and every query meets every row: queries and rows are dealt by hash into blocks, each block of
+queries goes by shuffle to each block of rows, and one task holds the tables of one block of queries while it reads rows.
+Nothing but the centroids passes through the driver.
 
 Defined results:
 - vectors that are null, zero, of another dimension than most, or that hold a null, a NaN or an infinity take no part,
@@ -32,7 +35,9 @@ NEAREST, CENTRES = 20, 16
 NEAR = 2.0
 #: Vectors in the learning sample; rows scanned together; bytes of a block of queries; standard errors of a table sum
 #: below the last place within which rows are scored exactly.
-SAMPLE, BLOCK, QUERY_BYTES, ERRORS = 20_000, 8192, 8 << 20, 3.0
+SAMPLE, BLOCK, QUERY_BYTES, ERRORS = 20_000, 8192, 4 << 20, 5.0
+#: Rows of a block that queries are sent to: at most; at least, while there are fewer blocks than the last.
+MOST_ROWS, LEAST_ROWS, BLOCKS = 1 << 20, 4096, 16
 TOGETHER, PAIRS = 64, 1 << 15
 
 
@@ -121,6 +126,11 @@ class Quantiser:
         return both, scale[:, 0, 0], least.sum(axis=(1, 2))
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products along the last axis, added up in order."""
+    return np.cumsum(a * b, axis=-1)[..., -1]
+
+
 def scan(tables: np.ndarray, packed: np.ndarray) -> np.ndarray:
     """Table sums of each query and row."""
     total = np.zeros((len(tables), len(packed)), np.int32)
@@ -156,7 +166,7 @@ class Best:
             total = scan(tables, packed)
             few = min(2 * keep, len(packed))
             top = np.argpartition(total, len(packed) - few, axis=1)[:, -few:]
-            score = np.sort(np.einsum("qcd,qd->qc", vectors[top], self.queries[own]), axis=1)[:, -min(keep, few)]
+            score = np.sort(products(vectors[top], self.queries[own][:, None]), axis=1)[:, -min(keep, few)]
             if few < keep:
                 score[:] = -np.inf
             last = np.maximum(score, self.score[own, -1]) - ERRORS * self.error * np.sqrt((self.queries[own] ** 2).sum(axis=1))
@@ -164,7 +174,7 @@ class Best:
             exact = np.empty(len(query))
             for i in range(0, len(query), PAIRS):
                 part = slice(i, i + PAIRS)
-                exact[part] = np.einsum("pd,pd->p", vectors[row[part]], self.queries[own][query[part]])
+                exact[part] = products(vectors[row[part]], self.queries[own][query[part]])
             query, found, exact = np.repeat(query, most), names[row].ravel(), np.repeat(exact, most)
             good = (found != self.ids[own][query]) & (found != np.iinfo(np.int64).max)
             old = np.repeat(np.arange(len(tables)), self.nearest)
@@ -196,17 +206,19 @@ def matrix(column: pa.Array, dim: int, kind: type) -> np.ndarray:
 def indexed(vectors: DataFrame) -> tuple[DataFrame, Quantiser | None]:
     """A table vec_id, vector (bytes of float32 or, if these lose anything, float64), codes, of all usable rows."""
     spark = vectors.sparkSession
-    rows = vectors.select(long_id(vectors, "vec_id").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & usable())
+    elements = vectors.schema["embedding"].dataType.elementType.typeName()
+    own = F.col("embedding") if elements in ("float", "double") else F.col("embedding").cast("array<double>")
+    rows = vectors.select(long_id(vectors, "vec_id").alias("vec_id"), own.alias("embedding")).filter(F.col("vec_id").isNotNull() & usable())
     dims = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if dims is None:
         return rows.select("vec_id"), None
     dim = dims["d"]
     rows = rows.filter(F.size("embedding") == dim)
     key = F.col("vec_id").cast("string")
-    drawn = rows.filter(hashed_unit("ann", key) < min(1.0, SAMPLE / dims["count"])).limit(2 * SAMPLE)
-    sample = np.array([r["embedding"] for r in sorted(drawn.collect())], np.float64)
+    drawn = rows.filter(hashed_unit("ann", key) < min(1.0, SAMPLE / dims["count"])).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    sample = np.array([r["embedding"] for r in drawn.orderBy("vec_id").limit(2 * SAMPLE).collect()], np.float64)
     if not len(sample):
-        sample = np.array([rows.first()["embedding"]], np.float64)
+        sample = np.array([rows.orderBy("vec_id").first()["embedding"]], np.float64)
     quantiser = Quantiser(sample)
     shared = spark.sparkContext.broadcast(quantiser)
 
@@ -230,37 +242,52 @@ def searched(vectors: DataFrame, every: int = 20, nearest: int = NEAREST) -> Dat
     table, quantiser = indexed(vectors)
     if quantiser is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, shared = quantiser.dim, spark.sparkContext.broadcast(quantiser)
-    kind = np.float64 if vectors.schema["embedding"].dataType.elementType.typeName() == "double" else np.float32
-    queries = table.filter(F.col("vec_id") % every == 0).select("vec_id", "vector")
-    blocks = max(1, -(-queries.count() * dim * 8 // QUERY_BYTES))
-    found = None
-    for n in range(blocks):  # each block is a pass over the codes; its queries are the only thing sent out
-        some = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == n).orderBy("vec_id").collect()
-        if not some:
-            continue
-        ids = np.array([r["vec_id"] for r in some], np.int64)
-        asked = spark.sparkContext.broadcast((ids, np.frombuffer(b"".join(r["vector"] for r in some), kind).reshape(-1, dim).astype(np.float64)))
-
-        def look(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
-            best, held = None, []
-            for batch in sliced(batches, 4096):
-                if len(batch):
-                    held.append((batch.column("vec_id").to_numpy(), matrix(batch.column("vector"), dim, kind), matrix(batch.column("codes"), quantiser_bytes, np.uint8)))
-                if sum(len(x) for x, _, _ in held) >= BLOCK:
-                    best = best or Best(*asked.value, shared.value, nearest)
-                    best.add(*map(np.concatenate, zip(*held, strict=True)))
-                    held = []
-            if held:
-                best = best or Best(*asked.value, shared.value, nearest)
+    dim, wide, shared = quantiser.dim, quantiser.parts // 2, spark.sparkContext.broadcast(quantiser)
+    kind = np.float32 if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
+    asking = F.col("vec_id") % every == 0
+    count, asked = table.agg(F.count(F.lit(1)), F.count(F.when(asking, 1))).first()
+    query_blocks = max(1, -(-asked * dim * 8 // QUERY_BYTES))
+    row_blocks = max(1, min(BLOCKS, -(-count // LEAST_ROWS)), -(-count // MOST_ROWS))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(n)), F.lit(n)).cast("int")
+    queries = table.filter(asking).select(dealt(query_blocks).alias("queries"), each(row_blocks).alias("rows"), F.lit(False).alias("row"), "vec_id", "vector", F.lit(b"").alias("codes"))
+    rows = table.select(each(query_blocks).alias("queries"), dealt(row_blocks).alias("rows"), F.lit(True).alias("row"), "vec_id", "vector", "codes")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, held, asks, block = None, [], [], None
+
+        def scanned() -> None:
+            nonlocal best
+            if held and asks:
+                if best is None:
+                    ids, vectors = (np.concatenate(x) for x in zip(*asks, strict=True))
+                    best = Best(ids, vectors.astype(np.float64), shared.value, nearest)
                 best.add(*map(np.concatenate, zip(*held, strict=True)))
-            if best:
-                yield best.rows()
+            held.clear()
 
-        quantiser_bytes = quantiser.parts // 2
-        out = table.mapInArrow(look, "query_id long, vec_id long, score double")
-        found = out if found is None else found.unionByName(out)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        for batch in sliced(batches, 4096):
+            places = np.stack([batch.column(c).to_numpy() for c in ("queries", "rows")], axis=1)
+            row = batch.column("row").to_numpy(zero_copy_only=False).astype(bool)
+            edge = np.flatnonzero(np.append(True, (places[1:] != places[:-1]).any(axis=1) | (row[1:] != row[:-1])))
+            for i, j in zip(edge, np.append(edge[1:], len(row)), strict=True):
+                if (own := tuple(places[i])) != block:
+                    scanned()
+                    if best:
+                        yield best.rows()
+                    best, asks, block = None, [], own
+                some = batch.slice(i, j - i)
+                ids, own_vectors = some.column("vec_id").to_numpy(), matrix(some.column("vector"), dim, kind)
+                if not row[i]:
+                    asks.append((ids, own_vectors))
+                elif asks:
+                    held.append((ids, own_vectors, matrix(some.column("codes"), wide, np.uint8)))
+                    if sum(len(x) for x, _, _ in held) >= BLOCK:
+                        scanned()
+        scanned()
+        if best:
+            yield best.rows()
+
+    met = queries.unionByName(rows).repartition("queries", "rows").sortWithinPartitions("queries", "rows", "row", "vec_id")
+    found = met.mapInArrow(look, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")

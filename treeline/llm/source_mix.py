@@ -17,12 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeline.llm.common import SPACES, fresh, hashed_unit, text_or_empty, written
+from treeline.llm.common import SPACES, fresh, hashed_unit, joined_by_group, text_or_empty, written
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
 SEED = "mix-1"
-#: Source tables of up to so many rows are broadcast; beyond, they are joined by shuffle.
+#: Source tables of up to so many rows are broadcast; beyond, only the sources that hold much of the documents are.
 BROADCAST_SOURCES = 20_000
 
 
@@ -49,7 +49,23 @@ def targets(per_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int
     free = F.sum(F.when(~F.col("full"), F.col("weight")).otherwise(0.0)).over(every)
     spare = F.col("total") - F.sum(F.when(F.col("full"), F.col("most")).otherwise(0.0)).over(every)
     target = F.when(F.col("full"), F.col("most")).otherwise(F.col("weight") * spare / free)
-    return x.select("source", "source_size", target.alias("target"))
+    return x.select(*per_source.columns, target.alias("target"))
+
+
+def per_source(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
+    """source, source_size, rows, target of rows of source and size."""
+    sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
+    return written(targets(sums, weights, cap), "targets")
+
+
+def joined(rows: DataFrame, per: DataFrame, names: dict[str, str]) -> DataFrame:
+    """``rows`` with columns of their source's row in ``per``, under the names given."""
+    (key, count) = fresh(rows, "source_key", "source_rows")
+    code = F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("source").cast("string")))
+    per = per.select(code.alias(key), F.col("rows").alias(count), *[F.col(c).alias(n) for c, n in names.items()])
+    rows = rows.withColumn(key, code)
+    out = rows.join(F.broadcast(per), key) if per.count() <= BROADCAST_SOURCES else joined_by_group(rows, per, key, count)
+    return out.drop(key, count)
 
 
 def mixed(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -58,14 +74,11 @@ def mixed(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS,
     sizes = written(
         docs.select("doc_id", "source", words(text_or_empty()).alias("size"), hashed_unit(seed, key).alias("draw")), "sizes"
     )
-    per = written(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), "targets")
-    few = per.count() <= BROADCAST_SOURCES
-    per = per.withColumnRenamed("source", "_source")
-    out = sizes.join(F.broadcast(per) if few else per, F.col("source").eqNullSafe(F.col("_source")))
+    out = joined(sizes, per_source(sizes, weights, cap), {"source_size": "source_size", "target": "target"})
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     out = out.withColumn("rate", rate)
     copies = F.floor("rate") + (F.col("draw") < F.col("rate") - F.floor("rate")).cast("long")
-    return out.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("size") * F.col("copies")).drop("_source", "draw")
+    return out.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("size") * F.col("copies")).drop("draw")
 
 
 def emitted(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -75,12 +88,9 @@ def emitted(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHT
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.md5(text_or_empty().cast("binary")))
     sizes = docs.select("source", words(text_or_empty()).alias("size"))
-    per = written(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), "targets")
-    few = per.count() <= BROADCAST_SOURCES
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    name, each, copies, copy = fresh(docs, "mix_source", "mix_rate", "mix_copies", "mix_copy")
-    per = per.select(F.col("source").alias(name), rate.alias(each))
-    out = docs.join(F.broadcast(per) if few else per, F.col("source").eqNullSafe(F.col(name)))
+    each, copies, copy = fresh(docs, "mix_rate", "mix_copies", "mix_copy")
+    out = joined(docs, per_source(sizes, weights, cap).withColumn("rate", rate), {"rate": each})
     count = F.floor(F.col(each)) + (hashed_unit(seed, key) < F.col(each) - F.floor(F.col(each))).cast("long")
     out = out.withColumn(copies, count.cast("int")).filter(F.col(copies) > 0)
     return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
