@@ -304,7 +304,32 @@ def test_near_duplicates_when_all_tokens_are_frequent(spark, monkeypatch):
     monkeypatch.setattr(jaccard.Frequencies, "__init__", lambda self, level: self.__dict__.update(level=level, shift=np.uint64(64 - int(len(level)).bit_length() + 1), rare=int(jaccard.levels(np.array([2.5]))[0])))
     monkeypatch.setattr(jaccard, "TOGETHER", 20)
     monkeypatch.setattr(jaccard, "HUBS", 2)
+    monkeypatch.setattr(jaccard, "ASKING", 7)
     assert sorted(rows_of(jaccard.near_duplicates(table(spark, rows)))) == sorted(brute_components(rows))
+    monkeypatch.setattr(jaccard, "TOGETHER", 1000)
+    monkeypatch.setattr(jaccard, "TOKENS_TOGETHER", 400)
+    assert sorted(rows_of(jaccard.near_duplicates(table(spark, rows)))) == sorted(brute_components(rows))
+
+
+def templates(count, own, common=44):
+    """Pages of one template: its words, then words of their own."""
+    shared = " ".join(f"t{i}" for i in range(common))
+    return [(i, shared + " " + " ".join(f"o{i}x{k}" for k in range(own(i))), "en", "s") for i in range(count)]
+
+
+def test_pages_of_one_template(spark):
+    rnd = random.Random(3)
+    lengths = [rnd.choice([2, 3, 5, 6, 7, 8, 12]) for _ in range(150)]
+    rows = templates(150, lambda i: lengths[i])
+    assert sorted(rows_of(jaccard.near_duplicates(table(spark, rows)))) == sorted(brute_components(rows))
+
+
+def test_unlike_pages_of_a_template_never_meet(spark):
+    docs = table(spark, templates(600, lambda i: 10)).select("doc_id", jaccard.text_or_empty().alias("_text"))
+    table_ = jaccard.indexed(docs, jaccard.counted(docs), 1000)
+    flags = [r["flag"] for r in table_.filter(f"kind = {jaccard.FREQUENT}").collect()]
+    assert flags and not any(f >= jaccard.INNER for f in flags)
+    assert all(r["doc_id"] == r["component_id"] for r in jaccard.near_duplicates(table(spark, templates(600, lambda i: 10))).collect())
 
 
 def test_cluster_links():

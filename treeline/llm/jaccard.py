@@ -2,14 +2,19 @@
 
 A document's set holds the hashes of its distinct shingles of WIDTH words.  Documents of equal sets are one node from
 the start.  All tokens are ordered by frequency (a counting sketch of bounded size over all documents; it orders, it
-decides nothing), rare ones first.  Of a set of n tokens the first n - ceil(T n) + EXTRA make the extended prefix: two
-sets that reach the similarity T share at least min(EXTRA, the needed overlap) tokens of their extended prefixes.
-
-- Rare tokens are indexed one by one.  By the sketch their lists are short, so their pairs are counted; where either
-  side's extended prefix is all rare, a pair must meet min(EXTRA, needed overlap) times.  What is left is verified.
+decides nothing), rare ones first.  Of a set of n tokens the first n - o + EXTRA make an extended prefix, o being the
+least overlap with a partner: with any partner T n, with one that is not smaller 2 T n / (1 + T).  Two sets that reach
+the similarity T share at least min(EXTRA, the needed overlap) tokens of the smaller set's inner prefix (by the second
+bound) and the larger one's outer prefix (by the first).  Sets made from one template, which share their frequent tokens
+but are not similar enough, mostly have no frequent token left in their inner prefixes and never meet.
+
+- Rare tokens are indexed one by one.  By the sketch their lists are short, so their pairs are counted; the rare tokens
+  that a pair shares, and the frequent ones that its prefixes have room for, must reach min(EXTRA, needed overlap).  What
+  is left is verified.
 - Of frequent tokens, combinations of two are indexed: two sets that share no rare token of their prefixes share at
   least two frequent ones (or all they need).  Where a prefix holds more than LIGHT frequent tokens, combinations
   would grow with its square; such a set is indexed by each frequent token instead, and met there by all others.
+  A combination counts where it lies in some set's inner prefix.
   Sets that meet (directly or along others) form a cluster, and each cluster is verified by an inverted index over
   whole sets, in blocks: a big group of near copies costs no list of its pairs, and lands in no single task.
 
@@ -42,17 +47,22 @@ WIDTH, PERCENT = 5, 75
 EXTRA, LIGHT = 4, 24
 #: The sketch has a counter for each so many words, within these bounds (as powers of two).
 WORDS_EACH, LEAST_BITS, MOST_BITS = 8, 18, 25
-#: Records of an index partition, counters of a sketch block, sets of a cluster verified together.
-RECORDS, BLOCK, TOGETHER = 1_000_000, 1 << 12, 1024
+#: Records of an index partition, counters of a sketch block; sets of a cluster verified together, and tokens of them;
+#: sets that go around the blocks of a cluster together; pairs of an index partition that are held at once.
+RECORDS, BLOCK, TOGETHER, TOKENS_TOGETHER, ASKING, PAIRS = 1_000_000, 1 << 12, 128, 1 << 21, 512, 1 << 21
 #: Sets of a cluster that all its blocks hold.
 HUBS = 16
 STEP, FLUSH = 4 << 20, 600_000
 
 RECORD = np.dtype([("key", "<u8"), ("sig", "<u8"), ("n", "<u4"), ("m", "<u2")])
-#: As sent for rare tokens: the part and 48 bits of the key tell tokens apart (those that clash make pairs that are then
-#: verified in vain), m only whether it is above 0.
+#: As sent for rare tokens: the part and 41 bits of the key tell tokens apart (those that clash make pairs that are then
+#: verified in vain); the other 7 bits of ``more`` are m.
 SENT = np.dtype([("key", "<u4"), ("more", "<u2"), ("sig", "<u8"), ("size", "<u4")])
 RARE, FREQUENT, DOCUMENT = 0, 1, 2
+#: m of a rare token: whether it is in the inner prefix, and the frequent tokens in the inner and in the outer prefix, up
+#: to 7 each.  m of a frequent key: this where it is in an inner prefix, plus 3 for a combination, for a single key 2 of
+#: a set that meets all others there, 1 of one that meets only those.
+INNER = 4
 
 
 def needed(n: np.ndarray) -> np.ndarray:
@@ -60,6 +70,11 @@ def needed(n: np.ndarray) -> np.ndarray:
     return -(-PERCENT * n // 100)
 
 
+def needed_alike(n: np.ndarray) -> np.ndarray:
+    """The least overlap of a set of n tokens with a set of as many tokens or more that it links to."""
+    return -(-2 * PERCENT * n // (100 + PERCENT))
+
+
 def each_set(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First row, tokens and bounds of the sets of some rows at a time; a text that is longer than STEP comes alone."""
     data, offsets = byte_column(batch.column("_text"))
@@ -98,7 +113,7 @@ class Frequencies:
 
 
 def counted(docs: DataFrame) -> Frequencies:
-    """In how many documents each token occurs, about: counters summed over all documents, never too low."""
+    """In how many documents each token occurs, about: counters summed over all documents; tokens of one counter go together."""
     words = (docs.agg(F.sum(F.length("_text"))).first()[0] or 0) / 6
     bits = int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(max(words / WORDS_EACH, 1))))))
     width, block = 1 << bits, min(BLOCK, 1 << bits)
@@ -139,51 +154,56 @@ def counted(docs: DataFrame) -> Frequencies:
     return Frequencies(level)
 
 
-def prefixes(tokens: np.ndarray, at: np.ndarray, of: Frequencies) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, token and whether frequent of each token in the extended prefixes."""
+def prefixes(tokens: np.ndarray, at: np.ndarray, of: Frequencies) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, token, whether frequent and whether in the inner prefix, of each token in the extended prefixes."""
     n = np.diff(at)
     row = np.repeat(np.arange(len(n)), n)
     level = of.of(tokens)
     level = np.where(level <= of.rare, 0, level)
     order = np.lexsort((tokens, level, row))
-    length = np.minimum(n, n - needed(n) + EXTRA)
-    pick = order[np.arange(len(tokens)) - np.repeat(at[:-1], n) < np.repeat(length, n)]
-    return row[pick], tokens[pick], level[pick] > 0
+    length, inner = (np.minimum(n, n - o + EXTRA) for o in (needed(n), needed_alike(n)))
+    place = np.arange(len(tokens)) - np.repeat(at[:-1], n)
+    some = place < np.repeat(length, n)
+    pick = order[some]
+    return row[pick], tokens[pick], level[pick] > 0, (place < np.repeat(inner, n))[some]
 
 
-def combined(row: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each combination of two tokens of a row (rows ascending): row and key."""
+def combined(row: np.ndarray, token: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each combination of two tokens of a row (rows ascending): row, key, whether both are in the inner prefix."""
     first = np.searchsorted(row, row)
     place = np.arange(len(row)) - first
     left = np.repeat(np.arange(len(row)), place)
     right = np.arange(len(left)) - np.repeat(np.cumsum(place) - place, place) + first[left]
     low, high = np.minimum(token[left], token[right]), np.maximum(token[left], token[right])
-    return row[left], mix(low * np.uint64(0x9E3779B97F4A7C15) + mix(high))
+    return row[left], mix(low * np.uint64(0x9E3779B97F4A7C15) + mix(high)), inner[left] & inner[right]
 
 
 def index_records(tokens: np.ndarray, at: np.ndarray, sig: np.ndarray, of: Frequencies) -> list[tuple[int, np.ndarray]]:
     """(kind, records) of the sets: rare tokens one by one; frequent ones combined, and singly with m for the heavy."""
     n = np.diff(at)
-    row, token, frequent = prefixes(tokens, at, of)
-    m = np.bincount(row, frequent, minlength=len(n)).astype(np.int64)
+    row, token, frequent, inner = prefixes(tokens, at, of)
+    m, m_inner = (np.bincount(row, x, minlength=len(n)).astype(np.int64) for x in (frequent, frequent & inner))
 
-    def made(rows: np.ndarray, keys: np.ndarray, count: np.ndarray) -> np.ndarray:
+    def made(rows: np.ndarray, keys: np.ndarray, more: np.ndarray) -> np.ndarray:
         out = np.empty(len(rows), RECORD)
-        out["key"], out["sig"], out["n"], out["m"] = keys, sig[rows], n[rows], np.minimum(count, 65535)
+        out["key"], out["sig"], out["n"], out["m"] = keys, sig[rows], n[rows], more
         return out
 
-    rare = made(row[~frequent], token[~frequent], m[row[~frequent]])
-    row, token = row[frequent], token[frequent]
-    #: m of a single key: 2 for a heavy set, 1 for one that only meets heavy ones there; of a combination: 3.
-    single = made(row, token, np.where((m[row] > LIGHT) | (needed(n)[row] < 2), 2, 1))
+    few = np.minimum(m_inner, 7) << 1 | np.minimum(m, 7) << 4
+    rare = made(row[~frequent], token[~frequent], few[row[~frequent]] | inner[~frequent])
+    # a set that shares no rare token with a partner needs so many frequent ones
+    least = np.minimum(EXTRA, needed(n))
+    some = frequent & (m >= least)[row]
+    row, token, inner = row[some], token[some], (inner & (m_inner >= least)[row])[some]
+    single = made(row, token, np.where((m[row] > LIGHT) | (least[row] < 2), 2, 1) + INNER * inner)
     light = m[row] <= LIGHT
-    pair_row, key = combined(row[light], token[light])
-    return [(RARE, rare), (FREQUENT, np.concatenate([single, made(pair_row, key, np.full(len(key), 3))]))]
+    pair_row, key, both = combined(row[light], token[light], inner[light])
+    return [(RARE, rare), (FREQUENT, np.concatenate([single, made(pair_row, key, 3 + INNER * both)]))]
 
 
 def indexed(docs: DataFrame, of: Frequencies, size: float) -> DataFrame:
-    """A table of rare pairs (RARE: a, b, their n, whether m > 0 in flag, count), frequent keys (FREQUENT: a the key, b
-    the set, flag) and documents (DOCUMENT: a doc_id, b the set, na its size, flag 1 for a null id)."""
+    """A table of rare pairs (RARE: a, b, their n, in flag the frequent tokens they have room for, count), frequent keys
+    (FREQUENT: a the key, b the set, na its size, flag) and documents (DOCUMENT: a doc_id, b the set, na its size, flag 1 for a null id)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(of)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size / RECORDS) + 1)
@@ -205,8 +225,8 @@ def indexed(docs: DataFrame, of: Frequencies, size: float) -> DataFrame:
                 rows, at = rows[order], at[order]
                 if kind == RARE:
                     some = np.empty(len(rows), SENT)
-                    some["key"], some["more"], some["sig"] = rows["key"] & np.uint64(0xFFFFFFFF), rows["key"] >> np.uint64(48), rows["sig"]
-                    some["size"] = rows["n"] << 1 | (rows["m"] > 0)
+                    some["key"], some["more"], some["sig"] = rows["key"] & np.uint64(0xFFFFFFFF), rows["key"] >> np.uint64(55) << np.uint64(7) | rows["m"], rows["sig"]
+                    some["size"] = rows["n"]
                     rows = some
                 edge = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
                 for i, j in zip(edge, np.append(edge[1:], len(at)), strict=True):
@@ -249,8 +269,8 @@ def indexed(docs: DataFrame, of: Frequencies, size: float) -> DataFrame:
                 if kind == RARE:
                     sent = np.frombuffer(blob.as_buffer(), SENT)
                     rows = np.empty(len(sent), RECORD)
-                    rows["key"] = (np.uint64(part) << np.uint64(48)) | (sent["more"].astype(np.uint64) << np.uint64(32)) | sent["key"]
-                    rows["sig"], rows["n"], rows["m"] = sent["sig"], sent["size"] >> 1, sent["size"] & 1
+                    rows["key"] = (np.uint64(part) << np.uint64(41)) | (sent["more"] >> 7).astype(np.uint64) << np.uint64(32) | sent["key"]
+                    rows["sig"], rows["n"], rows["m"] = sent["sig"], sent["size"], sent["more"] & 127
                     rare.append(rows)
                 else:
                     rows = np.frombuffer(blob.as_buffer(), RECORD)
@@ -269,23 +289,25 @@ def table_of(kind: int, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.nda
 
 
 def rare_pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The pairs of sets of fitting sizes that meet at a rare token, with how often they do in these lists."""
-    order = np.lexsort((rows["sig"], rows["key"]))
+    """The pairs of sets of fitting sizes that meet at a rare token in the smaller one's inner prefix, with how often they
+    do in these lists, and how many frequent tokens their prefixes have room for."""
+    order = np.lexsort((rows["sig"], rows["n"], rows["key"]))  # of two, the smaller set comes first
     key, sig = rows["key"][order], rows["sig"][order]
     new = np.append(True, (key[1:] != key[:-1]) | (sig[1:] != sig[:-1]))
     order, key = order[new], key[new]
     edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(edge, len(key)))
+    n, inner = rows["n"].astype(np.int64), rows["m"] & 1
     left, right = [], []
     for k in np.unique(size[size > 1]):
-        members = order[edge[size == k][:, None] + np.arange(k)]
-        for i in range(k - 1):
-            for j in range(i + 1, k):
-                x, y = rows[members[:, i]], rows[members[:, j]]
-                low, high = np.minimum(x["n"], y["n"]).astype(np.int64), np.maximum(x["n"], y["n"])
-                fit = 100 * low >= PERCENT * high
-                left.append(members[fit, i])
-                right.append(members[fit, j])
+        first, second = np.triu_indices(k, 1)
+        starts, step = edge[size == k], max(1, PAIRS // len(first))
+        for at in range(0, len(starts), step):
+            members = order[starts[at : at + step][:, None] + np.arange(k)]
+            x, y = members[:, first].ravel(), members[:, second].ravel()
+            fit = (100 * n[x] >= PERCENT * n[y]) & (inner[x] > 0)
+            left.append(x[fit])
+            right.append(y[fit])
     if not left:
         return
     a, b = np.concatenate(left), np.concatenate(right)
@@ -297,9 +319,10 @@ def rare_pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
     edge = np.flatnonzero(np.append(True, (x["sig"][1:] != x["sig"][:-1]) | (y["sig"][1:] != y["sig"][:-1])))
     count = np.diff(np.append(edge, len(a)))
     x, y = x[edge], y[edge]
+    room = np.minimum(x["m"] >> 1 & 7, y["m"] >> 4 & 7)
     for i in range(0, len(x), 50_000):
         s = slice(i, i + 50_000)
-        yield table_of(RARE, x["sig"][s], y["sig"][s], x["n"][s], y["n"][s], (x["m"][s] > 0) & (y["m"][s] > 0), count[s])
+        yield table_of(RARE, x["sig"][s], y["sig"][s], x["n"][s], y["n"][s], room[s], count[s])
 
 
 def bloom(sigs: DataFrame) -> tuple[np.ndarray, int]:
@@ -465,14 +488,17 @@ def block_links(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def clustered(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links that connect the sets of each cluster as all their links would; ``members``: sig, root.
+    """Links that connect the sets of each cluster as all their links would; ``members``: sig, root, n, inner (whether the
+    set may be the smaller one of a link that frequent tokens alone find).
 
-    A cluster is dealt by hash into blocks of about TOGETHER sets, and each block is searched by itself, with some hubs of
-    the cluster that all its blocks hold: they tie together what belongs to one large group of near copies.  Of a cluster
-    in several blocks, the sets outside its greatest component (mostly few) then meet every block.
+    A cluster is dealt by hash into blocks of about TOGETHER sets (of about TOKENS_TOGETHER tokens, if these are fewer),
+    and each block is searched by itself, with some hubs of the cluster that all its blocks hold: they tie together what
+    belongs to one large group of near copies.  Of a cluster in several blocks, the sets outside its greatest component
+    (mostly few) then go around its blocks, ASKING at a time: the inner ones meet all sets, the others the inner sets.
     """
-    size = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(TOGETHER))).cast("int").alias("blocks"))
-    rows = joined_by_group(members, size.withColumn("rows", F.col("blocks") * F.lit(TOGETHER)), "root", "rows").drop("rows")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(float(TOGETHER))), F.ceil(F.sum("n") / F.lit(float(TOKENS_TOGETHER)))).cast("int")
+    size = members.groupBy("root").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("rows"))
+    rows = joined_by_group(members, size, "root", "rows").drop("rows")
     rows = written(rows.withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")), "blocks")
     several = rows.filter("blocks > 1")
     place = Window.partitionBy("root").orderBy("sig")
@@ -489,14 +515,18 @@ def clustered(members: DataFrame, sets: DataFrame) -> DataFrame:
     count = several.groupBy("root").agg(F.count(F.lit(1)).alias("rows"))
     outside = joined_by_group(several, greatest.join(count, "root"), "root", "rows").filter("comp <> most").drop("most", "rows")
     outside = written(outside, "outside")
-    chunks = outside.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(TOGETHER))).cast("int").alias("chunks")).join(count, "root")
+    chunks = outside.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(ASKING))).cast("int").alias("chunks")).join(count, "root")
     each = lambda df: joined_by_group(df, chunks, "root", "rows").drop("rows")
     asking = each(outside).select(
-        "root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        "root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("inner").alias("all"),
         F.pmod(F.xxhash64("sig", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"), "sig", "comp", F.lit(True).alias("asks"),
     )
-    present = each(several).select("root", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "sig", "comp", F.lit(False).alias("asks"))
-    return within.unionByName(block_links(asking.unionByName(present).join(sets, "sig"), ["root", "block", "chunk"]))
+    sides = F.explode(F.when(F.col("inner"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True))))
+    present = each(several).withColumn("all", sides).select(
+        "root", "block", "all", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "sig", "comp", F.lit(False).alias("asks")
+    )
+    met = asking.unionByName(present.join(asking.select("root", "all", "chunk").distinct(), ["root", "all", "chunk"], "left_semi"))
+    return within.unionByName(block_links(met.join(sets, "sig"), ["root", "block", "all", "chunk"]))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -513,15 +543,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.sum("c").alias("c"), F.max("flag").alias("flag"), F.max("na").alias("na"), F.max("nb").alias("nb")
     )
     least = F.least(F.lit(EXTRA), F.ceil(F.greatest("na", "nb") * F.lit(PERCENT) / F.lit(100)))
-    pairs = written(met.filter((F.col("flag") == 1) | (F.col("c") >= least)).select("a", "b"), "pairs")
+    pairs = written(met.filter(F.col("c") + F.col("flag") >= least).select("a", "b"), "pairs")
     # frequent tokens: sets that meet at a combination, or at a token of a heavy set
-    keys = table.filter(F.col("kind") == FREQUENT).select(F.col("a").alias("key"), F.col("b").alias("sig"), "flag").distinct()
-    busy = keys.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max("flag").alias("top")).filter("k > 1 and top > 1").select("key")
+    keys = table.filter(F.col("kind") == FREQUENT).select(F.col("a").alias("key"), F.col("b").alias("sig"), F.col("na").alias("n"), "flag").distinct()
+    inner = F.col("flag") >= INNER
+    busy = keys.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max(F.col("flag") % INNER).alias("top"), F.max(inner).alias("inner"))
+    busy = busy.filter("k > 1 and top > 1 and inner").select("key")
     edges = keys.join(busy, "key").select(F.col("key").alias("a"), F.col("sig").alias("b"))
     groups = components(edges)
-    sigs_known = keys.select("sig").distinct()
-    members = written(groups.join(sigs_known, groups["node"] == sigs_known["sig"], "left_semi").select(F.col("node").alias("sig"), "root").unionByName(
-        groups.select(F.col("root").alias("sig"), "root").distinct().join(sigs_known, "sig", "left_semi")), "members")
+    known = keys.groupBy("sig").agg(F.max("n").alias("n"), F.max(inner).alias("inner"))
+    nodes = groups.select(F.col("node").alias("sig"), "root").unionByName(groups.select(F.col("root").alias("sig"), "root").distinct())
+    members = written(nodes.join(known, "sig"), "members")
     wanted = written(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(members.select("sig")).distinct(), "wanted")
     if wanted.isEmpty():
         links = pairs
