@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.access import AccessPolicy, Context
-from treeline.errors import ResolverError
+from treeline.errors import ResolverError, ValidationError
 from treeline.operators.compiler import Compiled, compile_plan
 from treeline.operators.flat import flat, nest
 from treeline.operators.ordering import sorted_by
 from treeline.operators.predicates import identity, predicate
 from treeline.plans import cursor
-from treeline.plans.analyze import Node, Options, analyze, summary
-from treeline.plans.wire import Query, parse
+from treeline.plans.analyze import Node, Options, analyze, both, summary
+from treeline.plans.wire import Logic, Query, Test, parse
 from treeline.plugins import Answer, Plugin
 from treeline.schema import Schema
 from treeline.sources.catalog import Catalog
@@ -93,13 +93,13 @@ class Engine:
             node = plugin.on_plan(node, context)
         return node
 
-    def _compiled(self, node: Node, id: Any, context: Context) -> Compiled:
+    def _compiled(self, node: Node, id: Any, context: Context, eager: bool = False) -> Compiled:
         is_point = id is not POINT
         found = self.resolvers.get(node.entity) or self.resolvers.get("*")
         if found:
             out = self._resolved(node, *found, id)
         else:
-            out = compile_plan(node, self.schema, self.catalog, None if not is_point else id, is_point)
+            out = compile_plan(node, self.schema, self.catalog, None if not is_point else id, is_point, eager)
         for plugin in reversed(self.plugins):
             out.rows = plugin.on_result(out.rows, node, context)
         return out
@@ -134,7 +134,8 @@ class Engine:
     # -- answers
 
     def dataframe(self, query: Any, form: str = "json", context: Context | None = None, id: Any = POINT, unpaged: bool = False) -> DataFrame:
-        """The result as a DataFrame: a page (as the query says, or the default), a point, or with ``unpaged`` all records."""
+        """The result as a DataFrame: a page (as the query says, or the default), a point, or with ``unpaged`` all records.
+        Nothing is read yet; a page's keys go to what is attached by a semi-join."""
         context = context or Context()
         try:
             node = self._hooked(query, form, context, id, unpaged)
@@ -158,7 +159,7 @@ class Engine:
         try:
             try:
                 node = self._hooked(query, form, context, id, False)
-                compiled = self._compiled(node, id, context) if node else None
+                compiled = self._compiled(node, id, context, eager=True) if node else None
                 data = _shaped(node, compiled, id)
             except Answer as answer:
                 node, compiled, data = None, None, answer.value
@@ -175,8 +176,41 @@ class Engine:
 
     def flat(self, query: Any, form: str = "json", context: Context | None = None) -> DataFrame:
         """The query's rows before nesting: one column for each field, the product of its to-many relations."""
-        node = self.plan(query, form, context, unpaged=True)
-        return self._nothing(query, form, POINT) if node is None else flat(node, self.schema, self.catalog)
+        context = context or Context()
+        try:
+            node = self._hooked(query, form, context, POINT, True)
+        except Answer as answer:
+            return answer.value
+        if node is None:
+            return self._nothing(query, form, POINT)
+        rows = flat(node, self.schema, self.catalog)
+        for plugin in reversed(self.plugins):
+            rows = plugin.on_result(rows, node, context)
+        return rows
+
+    def records(self, query: Any, ids: list, form: str = "json", context: Context | None = None) -> dict[str, Any]:
+        """The records of many ids (of an entity with one id field) in one read, by the id as text; those that are not
+        there, or that point rules deny, are left out."""
+        context = context or Context()
+        node = self._hooked(query, form, context, POINT, True)
+        if node is None:
+            return {}
+        if len(node.config.ids) != 1:
+            raise ValidationError(f"'{node.entity}' has no single id")
+        (name,) = node.config.ids
+        allowed = [i for i in ids if not self.access or self.access.point_ok(node.entity, i, context)]
+        if not allowed:
+            return {}
+        node.guard = both(node.guard, Logic("or", tuple(Test(name, "eq", i) for i in allowed)) if len(allowed) > 1 else Test(name, "eq", allowed[0]))
+        compiled = self._compiled(node, POINT, context)
+        key = compiled.keys[[s.field for s in node.order].index(name)]
+        out = {}
+        for row in compiled.rows.collect():
+            value = {n: _plain(row[n]) for n in compiled.names}
+            for plugin in reversed(self.plugins):
+                value = plugin.on_response(value, context)
+            out[str(row[key])] = value
+        return out
 
 
 class _Emptied(Catalog):

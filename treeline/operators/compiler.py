@@ -31,9 +31,9 @@ class Compiled:
         return out.select(*[F.col(f"`{n}`") for n in self.names])
 
 
-def compile_plan(plan: Node, schema: Schema, catalog: Catalog, point: Any = None, is_point: bool = False) -> Compiled:
-    """The DataFrame of a plan.  A page with relations is read at once (it is bounded), so that its keys reach the
-    scans of what is attached; everything else stays lazy."""
+def compile_plan(plan: Node, schema: Schema, catalog: Catalog, point: Any = None, is_point: bool = False, eager: bool = False) -> Compiled:
+    """The DataFrame of a plan, lazy.  With ``eager``, a page with relations is read at once (it is bounded), so that its
+    keys reach the scans of what is attached as literals; else they reach it by a semi-join."""
     build = Builder(schema, catalog)
     prefix = build.prefix()
     df = build.filtered(build.scan(plan, prefix, build.wanted(plan, [])), plan, prefix)
@@ -52,7 +52,7 @@ def compile_plan(plan: Node, schema: Schema, catalog: Catalog, point: Any = None
     paged = plan.first is not None
     if paged:
         df = df.orderBy(*sorted_by(plan.order, column)).limit(plan.first + 1)
-        if plan.refs or build.hidden(plan):
+        if eager and (plan.refs or build.hidden(plan)):
             page = df.collect()
             df = df.sparkSession.createDataFrame(page, df.schema)
             build.known = {c: [r[c] for r in page] for c in df.columns}

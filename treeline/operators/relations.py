@@ -114,7 +114,7 @@ class Builder:
         for name, fields in hidden.items():
             _, join = self.schema.join(node.name if node.path else node.entity, node.entity, name)
             path = f"{node.path}.{name}" if node.path else name
-            out.append((Node(name, join.entity, path, self.schema.entities[join.entity], join), fields, False))
+            out.append((Node(name, join.entity, path, self.schema.entities[join.entity], join, guard=node.hidden_guards.get(name)), fields, False))
         return out
 
     def wanted(self, node: Node, above: list[Node], extra: set[str] = frozenset()) -> set[str]:
@@ -181,7 +181,9 @@ class Builder:
         if through:
             pairs = self.catalog.table(through.table).select(F.col(through.source).alias(f"{own}#0"), F.col(through.target).alias(f"{own}#to"))
             pairs = pairs.filter(F.col(f"{own}#0").isNotNull() & F.col(f"{own}#to").isNotNull())
-            pairs = self._among(pairs, df, mine, [f"{own}#0"], few).distinct()
+            pairs = self._among(pairs, df, mine, [f"{own}#0"], few)
+            if child.many and child.order:  # else the aggregation below takes each child once
+                pairs = pairs.distinct()
             rows = pairs.join(rows, F.col(f"{own}#to") == F.col(f"`{own}{child.config.column(child.config.ids[0])}`"))
             keys = [f"{own}#0"]
         else:
@@ -214,7 +216,7 @@ class Builder:
             place = [F.col(rank)] if child.order else ids
             packed = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(place)], payload.alias("v"))
             got = rows.groupBy(*[F.col(f"`{k}`").alias(r) for k, r in zip(keys_all, renamed, strict=True)]).agg(
-                F.transform(F.array_sort(F.collect_list(packed)), lambda x: x["v"]).alias(out)
+                F.transform(F.array_sort((F.collect_set if through else F.collect_list)(packed)), lambda x: x["v"]).alias(out)
             )
         elif {c for _, _, c in found.pairs} == {child.config.column(f) for f in child.config.ids} and not through and len(keys_all) == len(keys):
             got = rows.select(*[F.col(f"`{k}`").alias(r) for k, r in zip(keys_all, renamed, strict=True)], payload.alias(out))

@@ -35,6 +35,8 @@ class Node:
     having: Test | Logic | None = None
     #: A predicate that access rules add; a filter like ``where``, but the client's limits don't hold for it.
     guard: Test | Logic | None = None
+    #: The same for relations that only computed fields read, by name.
+    hidden_guards: dict[str, Test | Logic] = field(default_factory=dict)
 
     @property
     def grouped(self) -> bool:

@@ -6,6 +6,7 @@ import logging
 import re
 import time
 from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,16 @@ from treeline.errors import RateLimitError, ValidationError
 from treeline.plans.analyze import Node
 
 
+@dataclass(frozen=True)
+class File:
+    """A file that is being uploaded; ``hash``: of its content, as sent."""
+
+    data: bytes
+    type: str
+    name: str = ""
+    hash: str | None = None
+
+
 class Answer(Exception):
     """Raised by a plan hook to end a read with this result."""
 
@@ -38,6 +49,10 @@ class Plugin:
     def on_response(self, value: Any, context: Context) -> Any:
         return value
 
+    def on_upload(self, file: File, context: Context) -> File:
+        """Before a file is stored; may change it, or raise to refuse it."""
+        return file
+
     def on_error(self, error: Exception, context: Context) -> None:
         return None
 

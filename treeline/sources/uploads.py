@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import secrets
+from collections.abc import Sequence
 from dataclasses import dataclass
 from pathlib import Path, PurePosixPath
 from typing import Protocol
 
+from treeline.access import Context
 from treeline.errors import IntegrityError, ResolverError, ValidationError
 from treeline.integrity import content_hash
+from treeline.plugins import File, Plugin
 
 MOST_BYTES = 25 * 1024 * 1024
 
@@ -95,17 +98,22 @@ class Uploaded:
 class Uploads:
     """Checks size, type and (if sent) content hash before it stores."""
 
-    def __init__(self, storage: Storage, types: tuple[str, ...] | None = None, most: int = MOST_BYTES):
-        self.storage, self.types, self.most = storage, types, most
+    def __init__(self, storage: Storage, types: tuple[str, ...] | None = None, most: int = MOST_BYTES, plugins: Sequence[Plugin] = ()):
+        """``plugins``: their upload hooks see each file, in order, after its hash was checked."""
+        self.storage, self.types, self.most, self.plugins = storage, types, most, plugins
 
-    def accept(self, data: bytes, type: str, name: str = "", hash: str | None = None, folder: str = "") -> Uploaded:
+    def accept(self, data: bytes, type: str, name: str = "", hash: str | None = None, folder: str = "", context: Context | None = None) -> Uploaded:
+        if hash is not None and hash != content_hash(data):
+            raise IntegrityError("the file is not the one that was signed")
+        file = File(data, type, name, hash)
+        for plugin in self.plugins:
+            file = plugin.on_upload(file, context or Context())
+        data, type, name = file.data, file.type, file.name
         if len(data) > self.most:
             raise ValidationError(f"the file has {len(data)} bytes, more than {self.most}")
         if self.types is not None and not any(type == t or (t.endswith("/*") and type.startswith(t[:-1])) for t in self.types):
             raise ValidationError(f"files of type '{type}' are not accepted")
         own = content_hash(data)
-        if hash is not None and hash != own:
-            raise IntegrityError("the file is not the one that was signed")
         ending = "".join(PurePosixPath(name).suffixes[-1:])
         key = f"{folder + '/' if folder else ''}{own[:16]}-{secrets.token_hex(4)}{ending}"
         self.storage.put(key, data)

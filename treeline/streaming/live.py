@@ -39,11 +39,16 @@ def encode(entity: str, id: Any = None, payload: Any = None, at: str | None = No
     return json.dumps({"channel": channel(entity, id), "payload": json.dumps(payload if payload is not None else {"type": "updated"}), "publishedAt": at})
 
 
-def decoded(lines: DataFrame, column: str = "value", prefix: str = PREFIX) -> DataFrame:
-    """entity, id, payload, published_at of lines; what cannot be read, or is on other channels, is left out."""
-    got = F.from_json(F.col(column).cast("string"), SCHEMA, {"mode": "PERMISSIVE"})
+def decoded(lines: DataFrame, column: str = "value", prefix: str = PREFIX, sent_on: Column | None = None) -> DataFrame:
+    """entity, id, payload, published_at of lines.  ``sent_on``: the channel that a transport itself names; it holds for
+    lines that name none, and a line there that is no JSON is its own payload.  What is on no channel of ours is left out."""
+    raw = F.col(column).cast("string")
+    got = F.from_json(raw, SCHEMA, {"mode": "PERMISSIVE"})
+    own = F.lit(None).cast("string") if sent_on is None else sent_on
+    told = F.coalesce(got["channel"], own).alias("channel")
+    payload = F.when(F.coalesce(got["channel"], got["payload"], got["publishedAt"].cast("string")).isNull(), raw).otherwise(got["payload"]).alias("payload")
     parts = F.split(F.col("_n.channel"), ":")
-    rows = lines.select(got.alias("_n")).filter(F.col("_n.channel").isNotNull())
+    rows = lines.select(F.struct(told, payload, got["publishedAt"].alias("publishedAt")).alias("_n")).filter(F.col("_n.channel").isNotNull())
     rows = rows.filter((F.element_at(parts, 1) == prefix) & F.size(parts).isin(2, 3))
     second = F.when(F.size(parts) == 3, F.try_element_at(parts, F.lit(3)))
     return rows.select(
@@ -77,6 +82,19 @@ def snapshot(engine: Engine, query: Any, id: Any, form: str = "json", context: C
         return Event("error", id, error_body(error))
 
 
+def snapshots(engine: Engine, query: Any, ids: list[Any], form: str = "json", context: Context | None = None) -> list[Event]:
+    """Snapshots of several records by one read; where that fails, one by one."""
+    if not ids:
+        return []
+    try:
+        found = engine.records(query, ids, form, context)
+        if all(str(i) in found for i in ids):
+            return [Event("update", i, found[str(i)]) for i in ids]
+    except Exception:  # noqa: S110 - each by itself says what is wrong with it
+        pass
+    return [snapshot(engine, query, i, form, context) for i in ids]
+
+
 def live(
     engine: Engine, notifications: DataFrame, entity: str, query: Any, ids: list[Any], emit: Callable[[Event], None], *,
     form: str = "json", context: Context | None = None, checkpoint: str | None = None, once: bool = False,
@@ -85,15 +103,15 @@ def live(
 
     ``notifications``: a streaming DataFrame of lines (column ``value``).  ``once``: reads what is there, then ends.
     """
-    for id in ids:
-        emit(snapshot(engine, query, id, form, context))
+    for event in snapshots(engine, query, ids, form, context):
+        emit(event)
     wanted = {str(i): i for i in ids}
 
     def batch(rows: DataFrame, _: int) -> None:
         # no more than the watched records come back
         hit = changed(rows).filter((F.col("entity") == entity) & F.col("id").isin(*wanted)).select("id").collect()
-        for r in sorted(hit):
-            emit(snapshot(engine, query, wanted[r["id"]], form, context))
+        for event in snapshots(engine, query, [wanted[r["id"]] for r in sorted(hit)], form, context):
+            emit(event)
 
     writer = decoded(notifications).writeStream.foreachBatch(batch).outputMode("append")
     if checkpoint:

@@ -85,10 +85,40 @@ def kafka_lines(spark: SparkSession, servers: str, topic: str, **options: str) -
     return source.options(**options).load().selectExpr("cast(value as string) as value")
 
 
-def follow(engine: Engine, pubsub: MemoryPubSub, entity: str, id: Any, query: Any, emit: Callable[[Event], None], form: str = "json", context: Context | None = None) -> Callable[[], None]:
-    """A snapshot of one record at once, and again at each of its notifications; returns what ends it."""
+HEARTBEAT = ": heartbeat\n\n"
+
+
+class Heartbeat:
+    """Writes HEARTBEAT at even times, so that an idle connection stays open, until it is stopped."""
+
+    def __init__(self, write: Callable[[str], None], every: float = 30.0):
+        self.write, self.every, self.over = write, every, threading.Event()
+        self.thread = threading.Thread(target=self._run, daemon=True)
+        self.thread.start()
+
+    def _run(self) -> None:
+        while not self.over.wait(self.every):
+            self.write(HEARTBEAT)
+
+    def stop(self) -> None:
+        self.over.set()
+        if threading.current_thread() is not self.thread:
+            self.thread.join()
+
+
+def follow(
+    engine: Engine, pubsub: MemoryPubSub, entity: str, id: Any, query: Any, emit: Callable[[Event], None], form: str = "json",
+    context: Context | None = None, beat: Callable[[str], None] | None = None, every: float = 30.0,
+) -> Callable[[], None]:
+    """A snapshot of one record at once, and again at each of its notifications, with heartbeats to ``beat`` in between;
+    returns what ends it."""
     emit(snapshot(engine, query, id, form, context))
-    return pubsub.subscribe(channel(entity, id), lambda _: emit(snapshot(engine, query, id, form, context)))
+    end = pubsub.subscribe(channel(entity, id), lambda _: emit(snapshot(engine, query, id, form, context)))
+    beats = Heartbeat(beat, every) if beat else None
 
+    def stop() -> None:
+        end()
+        if beats:
+            beats.stop()
 
-HEARTBEAT = ": heartbeat\n\n"
+    return stop
