@@ -33,7 +33,7 @@ from treeline.llm.common import fold, hashed_unit, long_id, sliced, text_or_empt
 BUCKETS, WIDTH, LENGTHS, HALF = 1 << 18, 8, (3, 4, 5, 6), 1
 #: The learning sample: documents of each label, and characters of them; of a text longer than the last, a piece of that
 #: length is taken, from a hash-drawn place.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_LONGEST = 1_500, 6_000_000, 32_768
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_LONGEST = 1_500, 2_000_000, 32_768
 THRESHOLD = 0.7
 STEP = 1 << 20
 _WORD = np.zeros(256, bool)
