@@ -7,6 +7,8 @@ one row for each child (and one for a parent without any), so that both engines
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -15,11 +17,13 @@ from pyspark.sql import functions as F
 
 from treeline.access import AccessPolicy, Context, roles
 from treeline.engine import Engine
+from treeline.errors import ValidationError
 from treeline.functions.columns import concat, when_positive
+from treeline.operators.writes import written as after_writes
 from treeline.plans.wire import parse
 from treeline.schema import Computed, Entity, Join, Schema, Through
-from treeline.sources.catalog import Catalog
-from treeline.streaming.live import channel, changed, decoded, request_rates
+from treeline.sources.catalog import Catalog, Federation
+from treeline.streaming.live import channel, changed, decoded, encode, live, request_rates
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "conversations"]
 
@@ -48,6 +52,7 @@ SCHEMA = Schema(
         "document": Entity(("doc_id", "text", "lang", "source", "n_chars"), "doc_id", "documents"),
         "label": Entity(("doc_id", "quality", "toxic"), "doc_id", "labels"),
         "message": Entity(("conv_id", "turn", "role", "text"), ("conv_id", "turn"), "conversations"),
+        "account": Entity(("id", "balance", "segment", "nation"), "id", "accounts"),
     },
     {
         "region.nations": Join("nation", "nation.n_regionkey = region.r_regionkey", True),
@@ -66,12 +71,29 @@ SCHEMA = Schema(
         "supplier.parts": Join("part", through=Through("lineitem", "l_suppkey", "l_partkey"), many=True),
         "document.label": Join("label", "labels.doc_id = documents.doc_id"),
         "message.peers": Join("message", "parent.conv_id = child.conv_id", True),
+        "message.twin": Join("message", "parent.conv_id = child.conv_id AND parent.turn = child.turn"),
     },
 )
 
 
+def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with nulls: no balance below zero, no segment for every fifth nation."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/customer.parquet").select(
+        F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("balance"),
+        F.when(F.col("c_nationkey") % 5 != 0, F.col("c_mktsegment")).alias("segment"), F.col("c_nationkey").alias("nation"),
+    )
+
+
+#: The same in SQL.
+ACCOUNTS = "(SELECT c_custkey AS id, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS balance, CASE WHEN c_nationkey % 5 <> 0 THEN c_mktsegment END AS segment, c_nationkey AS nation FROM customer) AS a"
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    return Catalog.files(spark, sf_dir, TABLES).add("accounts", lambda: accounts(spark, sf_dir))
+
+
 def engine(spark: SparkSession, sf_dir: str, access: AccessPolicy | None = None) -> Engine:
-    return Engine(spark, SCHEMA, Catalog.files(spark, sf_dir, TABLES), access=access)
+    return Engine(spark, SCHEMA, catalog(spark, sf_dir), access=access)
 
 
 def _select(fields: str, **refs: dict) -> dict:
@@ -273,7 +295,23 @@ def _resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _add("resolver_nested", "SELECT n_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers FROM nation", fn=_resolver)
 _add("introspection", None, fn=lambda spark, d: spark.createDataFrame(
-    [(e["name"], f["name"], f["kind"], f.get("sparkType")) for e in engine(spark, d).describe()["entities"] for f in e["fields"]], "entity string, field string, kind string, type string"))
+    [(e["name"], f["name"], f["kind"], f.get("sparkType") or f.get("type") or "-") for e in engine(spark, d).describe()["entities"] for f in e["fields"]], "entity string, field string, kind string, type string"))
+
+
+def _described() -> str:
+    """SQL: physical fields with their types from DuckDB's own catalog, and the computed ones."""
+    physical = ", ".join(f"('{e}', '{f}', '{SCHEMA.table(e)}', '{c.column(f)}')" for e, c in SCHEMA.entities.items() if e != "account" for f in c.fields)
+    computed = " UNION ALL ".join(f"SELECT '{e}', '{n}', 'computed', '{x.type or '-'}'" for e, c in SCHEMA.entities.items() for n, x in c.computed.items())
+    kinds = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "TIMESTAMP": "timestamp_ntz", "TIMESTAMP WITH TIME ZONE": "timestamp"}
+    told = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in kinds.items())
+    own = " UNION ALL ".join(f"SELECT 'account', '{f}', 'scalar', '{t}'" for f, t in (("id", "bigint"), ("balance", "double"), ("segment", "string"), ("nation", "int")))
+    return (
+        f"SELECT entity, field, 'scalar' AS kind, CASE regexp_replace(data_type, '_NS$|_S$|_MS$', '') {told} ELSE data_type END AS type FROM (VALUES {physical}) AS f(entity, field, t, c) "
+        f"JOIN information_schema.columns ON table_name = t AND column_name = c UNION ALL {computed} UNION ALL {own}"
+    )
+
+
+SQL["introspection"] = _described()
 
 
 def _notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,6 +333,143 @@ def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(e.kind, e.data["c_custkey"], e.data["c_name"]) for e in got], "kind string, c_custkey long, c_name string")
 
 
+#: Nulls: filters, sorts and pages over columns that hold them.
+for _name, _where, _sql in (
+    ("null_is_null", _test("balance", "isNull"), "balance IS NULL"),
+    ("null_is_not_null", _test("segment", "isNotNull"), "segment IS NOT NULL"),
+    ("null_eq", _test("balance", "eq", None), "balance = NULL"),
+    ("null_ne", _test("segment", "ne", "BUILDING"), "segment <> 'BUILDING'"),
+    ("null_nin", _test("segment", "nin", ["BUILDING", "MACHINERY"]), "segment NOT IN ('BUILDING', 'MACHINERY')"),
+    ("null_not", {"not": _test("balance", "gt", 5000)}, "NOT balance > 5000"),
+    ("null_like", {"not": _test("segment", "like", "%U%")}, "NOT segment LIKE '%U%'"),
+):
+    _add(_name, f"SELECT id, nation FROM {ACCOUNTS} WHERE {_sql}", {"account": _select("id nation") | {"$where": _where}}, unpaged=True)
+
+for _name, _order, _sql in (
+    ("null_page_asc_first", [_sort("segment", "asc", "first"), _sort("balance", "desc")], "segment ASC NULLS FIRST, balance DESC NULLS LAST, id"),
+    ("null_page_desc_last", [_sort("segment", "desc"), _sort("balance", "asc", "first")], "segment DESC NULLS LAST, balance ASC NULLS FIRST, id"),
+    ("null_page_balance", [_sort("balance", "asc", "first")], "balance ASC NULLS FIRST, id"),
+):
+    _nulls = {"account": _select("id nation") | {"$orderBy": _order, "$page": {"first": 40}}}
+    _add(_name, f"SELECT id, nation FROM {ACCOUNTS} ORDER BY {_sql} LIMIT 40 OFFSET 40", fn=_second_page(_nulls))
+
+_add("null_aggregates", f"SELECT coalesce(segment, '-') AS segment, count(*) AS n, count(balance) AS known, round(sum(balance), 2) AS total, min(balance) AS least FROM {ACCOUNTS} GROUP BY 1",
+     _grouped("account", "segment", {"n": {"fn": "count"}, "known": {"fn": "count", "field": "balance"}, "total": {"fn": "sum", "field": "balance"}, "least": {"fn": "min", "field": "balance"}}),
+     lambda df: _rounded("total")(df.fillna("-", ["segment"])), unpaged=True)
+_add("null_distinct", f"SELECT coalesce(segment, '-') AS segment, id FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY balance DESC NULLS FIRST, id) AS n FROM {ACCOUNTS}) WHERE n = 1",
+     {"account": _select("segment id") | {"$distinct": ["segment"], "$orderBy": [_sort("balance", "desc", "first")]}}, lambda df: df.fillna("-", ["segment"]), unpaged=True)
+
+_add("rel_composite_key", "SELECT a.conv_id, a.turn, b.role AS twin FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn",
+     {"message": _select("conv_id turn", twin=_select("role"))}, lambda df: df.select("conv_id", "turn", F.col("twin.role").alias("twin")), unpaged=True)
+_add("rel_shared_join", "SELECT c_custkey, n_name AS place, n_nationkey FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey",
+     {"customer": _select("c_custkey place", nation=_select("n_nationkey"))}, lambda df: df.select("c_custkey", "place", "nation.n_nationkey"), unpaged=True)
+
+
+def _federated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of one service with customers of another."""
+    services = {"sales": Catalog.files(spark, sf_dir, ["orders", "lineitem"]), "people": Catalog.files(spark, sf_dir, ["customer", "nation"])}
+    own = Engine(spark, SCHEMA, Federation(services))
+    return own.dataframe({"order": _select("key", customer=_select("c_name", nation=_select("n_name")))}, unpaged=True).select("key", "customer.c_name", "customer.nation.n_name")
+
+
+_add("rel_cross_service", "SELECT o_orderkey AS key, c_name, n_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey", fn=_federated)
+
+
+def _preshaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A resolver that returns records as the result has them."""
+    own = engine(spark, sf_dir)
+    records = lambda plan, tables: tables.table("region").join(
+        tables.table("nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_sort(F.collect_list(F.struct("n_name"))).alias("nations")), "r_regionkey"
+    )
+    own.resolve("region", records, nested=True)
+    return own.dataframe({"region": _select("r_regionkey r_name", nations=_select("n_name"))}, unpaged=True).select("r_regionkey", "r_name", F.explode("nations").alias("n")).select("r_regionkey", "r_name", "n.n_name")
+
+
+_add("resolver_preshaped", "SELECT r_regionkey, r_name, n_name FROM region JOIN nation ON n_regionkey = r_regionkey", fn=_preshaped)
+
+
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers after a batch of writes."""
+    write = lambda op, **more: {"$write": {"op": op, "entity": "customer"} | more}
+    batch = [
+        write("create", data={"c_custkey": -1, "c_name": "new", "c_nationkey": 3, "c_acctbal": 1.5, "c_mktsegment": "BUILDING"}),
+        write("update", id=7, data={"c_name": "renamed"}), write("delete", id="11"), write("update", id=-1, data={"c_acctbal": 2.5}), write("delete", id="none"),
+    ]
+    return after_writes(spark.read.parquet(f"{sf_dir.rstrip('/')}/customer.parquet"), SCHEMA, "customer", batch)
+
+
+_add("writes", "SELECT c_custkey, CASE WHEN c_custkey = 7 THEN 'renamed' ELSE c_name END AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey <> 11 UNION ALL SELECT -1, 'new', 3, 2.5, 'BUILDING'", fn=_written)
+
+
+def _envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The envelopes of the pages that lead through all nations; a cursor of another query is refused."""
+    own, rows, after = engine(spark, sf_dir), [], None
+    while True:
+        query = {"nation": _select("n_nationkey") | {"$page": {"first": 10} | ({"after": after} if after else {})}}
+        got = own.execute(query)
+        rows.append((len(rows), len(got["items"]), got["pageInfo"]["hasNextPage"], got["items"][0]["n_nationkey"]))
+        after = got["pageInfo"]["endCursor"]
+        if not got["pageInfo"]["hasNextPage"]:
+            break
+    try:
+        own.execute({"region": _select("r_regionkey") | {"$page": {"after": after}}})
+    except ValidationError:
+        rows.append((-1, 0, False, -1))
+    return spark.createDataFrame(rows, "page int, items int, more boolean, first_key int")
+
+
+_add("page_envelope", "SELECT (n // 10)::INTEGER AS page, count(*)::INTEGER AS items, max(n) < (SELECT count(*) FROM nation) - 1 AS more, min(n_nationkey) AS first_key FROM (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS n FROM nation) GROUP BY 1 UNION ALL SELECT -1, 0, false, -1", fn=_envelope)
+
+HIDING = AccessPolicy(
+    entities={"region": roles("admin")}, fields={"nation.n_name": roles("admin"), "customer.c_mktsegment": roles("admin")},
+    points={"customer": lambda c, id: str(id) != "13"}, rows={"nation": lambda c: _test("n_regionkey", "eq", 1)},
+)
+ROWS_ONLY = AccessPolicy(rows={"nation": lambda c: _test("n_regionkey", "eq", 1)})
+_add("access_computed_field", "SELECT c_custkey, c_acctbal > 0 AS solvent FROM customer", {"customer": _select("c_custkey title place solvent")}, access=HIDING, context=GUEST, unpaged=True)
+_add("access_computed_entity", "SELECT n_nationkey FROM nation WHERE n_regionkey = 1", {"nation": _select("n_nationkey label")}, access=HIDING, context=GUEST, unpaged=True)
+_add("access_computed_rows", "SELECT c_custkey, coalesce(n_name, '-') AS place FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey = 1",
+     {"customer": _select("c_custkey place")}, lambda df: df.fillna("-").replace("", "-"), access=ROWS_ONLY, context=GUEST, unpaged=True)
+_add("access_point_denied", "SELECT c_custkey FROM customer WHERE false", {"customer": _select("c_custkey")}, access=HIDING, context=GUEST, id=13)
+_add("access_point_allowed", "SELECT c_custkey FROM customer WHERE c_custkey = 14", {"customer": _select("c_custkey")}, access=HIDING, context=GUEST, id=14)
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A live read run over a stream of notifications to its end: what it emitted."""
+    folder = f"{_folder(spark)}/live-{uuid.uuid4().hex[:12]}"
+    lines = [encode("customer", 2), encode("customer", 3), encode("order", 1), "no JSON", encode("customer", 2)]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{folder}/lines")
+    got: list = []
+    stream = spark.readStream.schema("value string").text(f"{folder}/lines")
+    query = live(engine(spark, sf_dir), stream, "customer", {"customer": _select("c_custkey c_name")}, [1, 2, 3], got.append, checkpoint=f"{folder}/state", once=True)
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+    return spark.createDataFrame([(n, e.kind, e.data["c_custkey"], e.data["c_name"]) for n, e in enumerate(got)], "place int, kind string, c_custkey long, c_name string")
+
+
+_add("live_stream", "SELECT place, 'update' AS kind, c_custkey, c_name FROM (VALUES (0, 1), (1, 2), (2, 3), (3, 2), (4, 3)) AS e(place, id) JOIN customer ON c_custkey = id", fn=_streamed)
+
+
+def _folder(spark: SparkSession) -> str:
+    """A folder that all executors reach."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (root or tempfile.mkdtemp(prefix="treeline-")).rstrip("/")
+
+
+def _rate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request rates of a stream of events, run to its end; each batch's counts replace the ones before."""
+    folder = f"{_folder(spark)}/rates-{uuid.uuid4().hex[:12]}"
+    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    rows.write.parquet(f"{folder}/events")
+    events = spark.readStream.schema(rows.schema).parquet(f"{folder}/events")
+    rates = request_rates(events, F.col("user_id"), window="1 hour")
+    out = lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/rates")
+    rates.writeStream.outputMode("complete").foreachBatch(out).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/rates")
+
+
+_add("rate_stream", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, user_id AS key, count(*) AS requests FROM events GROUP BY 1, 2", fn=_rate_stream)
+
 _add("live_snapshot", "SELECT 'update' AS kind, c_custkey, c_name FROM customer WHERE c_custkey IN (1, 2)", fn=_snapshot)
 _add("rate_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, user_id AS key, count(*) AS requests FROM events GROUP BY 1, 2",
      fn=lambda spark, d: request_rates(spark.read.parquet(f"{d}/events.parquet"), F.col("user_id"), window="1 hour"))
