@@ -7,18 +7,20 @@ import random
 
 import pytest
 
-from treeline.access import AccessPolicy, CachedAccessPolicy, Context, TimedStore, roles, signed_in
+from treeline.access import AccessPolicy, CachedAccessPolicy, Context, FolderStore, TimedStore, roles, signed_in
 from treeline.engine import Engine
 from treeline.errors import ResolverError, SchemaError, ValidationError
 from treeline.functions.columns import concat, first_known, joined, row_by_row
 from treeline.plans.analyze import Options
+from treeline.plans.wire import _filter as wire_filter
+from treeline.plugins import Plugin
 from treeline.schema import Computed, Entity, Join, Schema, Through
 from treeline.sources.catalog import Catalog, Federation
 
 USERS = Schema(
     {
         "user": Entity(("id", "name"), computed={"shout": Computed(("name",), concat("{name}!"), "string")}),
-        "token": Entity(("accessToken", "expiresAt"), columns={"accessToken": "access_token", "expiresAt": "expires_at"}),
+        "token": Entity(("keyText", "validUntil"), columns={"keyText": "key_text", "validUntil": "valid_until"}),
         "note": Entity(("body",)),
     },
     {"user.tokens": Join("token", "tokens.user_id = users.id", True), "user.notes": Join("note", "notes.user_id = users.id", True)},
@@ -28,21 +30,21 @@ USERS = Schema(
 @pytest.fixture(scope="module")
 def users(spark):
     return Engine(spark, USERS, {
-        "users": spark.createDataFrame([(1, "Ada"), (2, "Grace")], "id int, name string"),
-        "tokens": spark.createDataFrame([(1, 1, "tok_ada_1", "2026-12-31"), (2, 1, "tok_ada_2", "2027-01-15"), (3, 2, "tok_grace_1", "2026-06-30")], "id int, user_id int, access_token string, expires_at string"),
+        "users": spark.createDataFrame([(1, "Mira"), (2, "Tovah")], "id int, name string"),
+        "tokens": spark.createDataFrame([(4, 1, "k-77", "2031-02-03"), (5, 1, "k-78", "2031-08-09"), (9, 2, "k-90", "2030-11-30")], "id int, user_id int, key_text string, valid_until string"),
         "notes": spark.createDataFrame([(1, 1, "first"), (2, 1, "second"), (3, 1, "third")], "id int, user_id int, body string"),
     })
 
 
 def test_point_read_with_renames(users):
-    got = users.execute("{ user { id name tokens { accessToken expiresAt } } }", "ql", id=1)
-    assert got == {"id": 1, "name": "Ada", "tokens": [{"accessToken": "tok_ada_1", "expiresAt": "2026-12-31"}, {"accessToken": "tok_ada_2", "expiresAt": "2027-01-15"}]}
+    got = users.execute("{ user { id name tokens { keyText validUntil } } }", "ql", id=1)
+    assert got == {"id": 1, "name": "Mira", "tokens": [{"keyText": "k-77", "validUntil": "2031-02-03"}, {"keyText": "k-78", "validUntil": "2031-08-09"}]}
 
 
 def test_siblings_do_not_multiply(users):
-    got = users.execute("{ user { id tokens { accessToken } notes { body } } }", "ql", id="1")
+    got = users.execute("{ user { id tokens { keyText } notes { body } } }", "ql", id="1")
     assert len(got["tokens"]) == 2 and [n["body"] for n in got["notes"]] == ["first", "second", "third"]
-    assert users.execute("{ user { id tokens { accessToken } notes { body } } }", "ql", id=2) == {"id": 2, "tokens": [{"accessToken": "tok_grace_1"}], "notes": []}
+    assert users.execute("{ user { id tokens { keyText } notes { body } } }", "ql", id=2) == {"id": 2, "tokens": [{"keyText": "k-90"}], "notes": []}
     assert users.execute("{ user { id } }", "ql", id=9) is None and users.execute("{ user { id } }", "ql", id="x") is None
 
 
@@ -51,22 +53,22 @@ def q(select="id name", **controls):
 
 
 def test_collection_controls(users):
-    assert [x["name"] for x in users.execute(q(page={"first": 1}))["items"]] == ["Ada"]
+    assert [x["name"] for x in users.execute(q(page={"first": 1}))["items"]] == ["Mira"]
     assert users.execute(q(page={"first": 1}))["pageInfo"]["hasNextPage"]
-    for where, names in (({"field": "name", "op": "eq", "value": "Grace"}, ["Grace"]), ({"field": "name", "op": "in", "value": ["Ada", "Grace"]}, ["Ada", "Grace"]), ({"field": "name", "op": "ilike", "value": "a%"}, ["Ada"])):
+    for where, names in (({"field": "name", "op": "eq", "value": "Tovah"}, ["Tovah"]), ({"field": "name", "op": "in", "value": ["Mira", "Tovah"]}, ["Mira", "Tovah"]), ({"field": "name", "op": "ilike", "value": "m%"}, ["Mira"])):
         assert [x["name"] for x in users.execute(q(where=where))["items"]] == names
-    assert [x["name"] for x in users.execute(q(orderBy=[{"field": "name", "direction": "desc"}]))["items"]] == ["Grace", "Ada"]
+    assert [x["name"] for x in users.execute(q(orderBy=[{"field": "name", "direction": "desc"}]))["items"]] == ["Tovah", "Mira"]
     got = users.execute(q("name", groupBy=["name"], aggregate={"total": {"fn": "count", "field": "*"}}))
-    assert got["items"] == [{"name": "Ada", "total": 1}, {"name": "Grace", "total": 1}]
+    assert got["items"] == [{"name": "Mira", "total": 1}, {"name": "Tovah", "total": 1}]
     assert not got["pageInfo"]["hasNextPage"] and got["pageInfo"]["startCursor"]
 
 
 def test_cursor_without_the_sort_field_selected(users):
     one = users.execute(q("name", page={"first": 1}))
     two = users.execute(q("name", page={"first": 1, "after": one["pageInfo"]["endCursor"]}))
-    assert [x["name"] for x in two["items"]] == ["Grace"] and not two["pageInfo"]["hasNextPage"]
+    assert [x["name"] for x in two["items"]] == ["Tovah"] and not two["pageInfo"]["hasNextPage"]
     assert users.execute(q("name", page={"after": two["pageInfo"]["endCursor"]}))["items"] == []
-    for other in (q("name", orderBy=[{"field": "name", "direction": "asc"}]), q(where={"field": "id", "op": "gt", "value": 0}), {"token": {"$select": {"accessToken": True}}}):
+    for other in (q("name", orderBy=[{"field": "name", "direction": "asc"}]), q(where={"field": "id", "op": "gt", "value": 0}), {"token": {"$select": {"keyText": True}}}):
         (root,) = other
         with pytest.raises(ValidationError):
             users.execute({root: other[root] | {"$page": {"after": one["pageInfo"]["endCursor"]}}})
@@ -76,7 +78,7 @@ def test_cursor_without_the_sort_field_selected(users):
 
 def test_detailed_and_description(users):
     got = users.execute_detailed(q("shout"))
-    assert got.data["items"][0] == {"shout": "Ada!"} and got.meta["plan"]["entity"] == "user" and "Physical Plan" in got.meta["explain"]
+    assert got.data["items"][0] == {"shout": "Mira!"} and got.meta["plan"]["entity"] == "user" and "Physical Plan" in got.meta["explain"]
     about = users.describe({"user"})
     assert about["entities"][0]["fields"] == [{"name": "id", "kind": "scalar", "sparkType": "int"}, {"name": "name", "kind": "scalar", "sparkType": "string"}, {"name": "shout", "kind": "computed", "type": "string"}]
 
@@ -100,7 +102,7 @@ def blog(spark):
     return Engine(spark, BLOG, {
         "posts": spark.createDataFrame([(1, "Hello", 1), (2, "World", 1), (3, "Orphan", 9), (4, "Null", None)], "id int, title string, author_id int"),
         "comments": spark.createDataFrame([(10, "first", 1, 1), (11, "second", 1, 2), (12, "lost", None, 1), (13, "odd", 77, 1), (14, "third", 2, None)], "id int, body string, post_id int, author_id int"),
-        "users": spark.createDataFrame([(1, "Ada", None), (2, "Grace", 1), (3, "Bob", 1), (4, "Cy", 9)], "id int, name string, fan_of int"),
+        "users": spark.createDataFrame([(1, "Mira", None), (2, "Tovah", 1), (3, "Bob", 1), (4, "Cy", 9)], "id int, name string, fan_of int"),
         "tags": spark.createDataFrame([(1, "ts"), (2, "sql"), (3, "orm")], "id int, name string"),
         "_PostToTag": spark.createDataFrame([(1, 1), (1, 2), (2, 2), (2, 3), (2, 3), (None, 1)], "A int, B int"),
     })
@@ -108,7 +110,7 @@ def blog(spark):
 
 def test_three_levels(blog):
     got = blog.execute("{ post { id title comments { body author { name } } } }", "ql", id=1)
-    assert got == {"id": 1, "title": "Hello", "comments": [{"body": "first", "author": {"name": "Ada"}}, {"body": "second", "author": {"name": "Grace"}}]}
+    assert got == {"id": 1, "title": "Hello", "comments": [{"body": "first", "author": {"name": "Mira"}}, {"body": "second", "author": {"name": "Tovah"}}]}
     rows = blog.execute("{ post { title comments { body author { name } } } }", "ql")["items"]
     assert rows[1]["comments"] == [{"body": "third", "author": None}] and rows[2]["comments"] == []
 
@@ -126,16 +128,16 @@ def test_many_below_one_keeps_all(blog):
 
 def test_join_by_a_further_ancestor_and_a_test_of_the_child(blog):
     got = blog.execute("{ post { title comments { body fans { name } } } }", "ql")["items"]
-    assert got[0]["comments"] == [{"body": "first", "fans": [{"name": "Grace"}]}, {"body": "second", "fans": [{"name": "Grace"}]}]
+    assert got[0]["comments"] == [{"body": "first", "fans": [{"name": "Tovah"}]}, {"body": "second", "fans": [{"name": "Tovah"}]}]
     whole = {r["title"]: r["comments"] for r in blog.dataframe("{ post { title comments { body fans { name } } } }", "ql", unpaged=True).collect()}
-    assert [[f["name"] for f in c["fans"]] for c in whole["World"]] == [["Grace"]]
+    assert [[f["name"] for f in c["fans"]] for c in whole["World"]] == [["Tovah"]]
 
 
 def test_computed_over_a_hidden_relation(blog):
     rows = blog.execute({"post": {"$select": {"by": True}}})["items"]
-    assert rows == [{"by": "Hello by Ada"}, {"by": "World by Ada"}, {"by": None}, {"by": None}]
+    assert rows == [{"by": "Hello by Mira"}, {"by": "World by Mira"}, {"by": None}, {"by": None}]
     both = blog.execute({"post": {"$select": {"by": True, "author": {"$select": {"id": True}}}}}, id=1)
-    assert both == {"by": "Hello by Ada", "author": {"id": 1}}
+    assert both == {"by": "Hello by Mira", "author": {"id": 1}}
 
 
 def test_nested_controls(blog):
@@ -278,13 +280,13 @@ def test_access(blog):
     engine = Engine(blog.spark, BLOG, blog.catalog, access=POLICY)
     admin, guest = Context("u", "admin"), Context(None, "guest")
     query = "{ post { title by comments { body author { id name } } tags { name } } }"
-    assert engine.execute(query, "ql", admin, id=1)["comments"][0]["author"] == {"id": 1, "name": "Ada"}
+    assert engine.execute(query, "ql", admin, id=1)["comments"][0]["author"] == {"id": 1, "name": "Mira"}
     assert engine.execute(query, "ql", guest, id=1) == {"title": "Hello", "comments": [{"body": "second", "author": {"id": 2}}]}
     assert engine.execute(query, "ql", guest, id=2) is None
     assert "author" not in engine.execute(query, "ql", Context("x", "banned"), id=1)["comments"][0]
     assert engine.execute("{ tag { name } }", "ql", guest) == {"items": [], "pageInfo": {"hasNextPage": False, "startCursor": None, "endCursor": None}}
     assert engine.dataframe("{ tag { name } }", "ql", guest).columns == ["name"] and engine.dataframe("{ tag { name } }", "ql", guest).count() == 0
-    for control in ({"$where": {"field": "name", "op": "eq", "value": "Ada"}}, {"$orderBy": [{"field": "name", "direction": "asc"}]}, {"$distinct": ["name"]}):
+    for control in ({"$where": {"field": "name", "op": "eq", "value": "Mira"}}, {"$orderBy": [{"field": "name", "direction": "asc"}]}, {"$distinct": ["name"]}):
         with pytest.raises(ValidationError):
             engine.execute({"user": {"$select": {"id": True}} | control}, context=guest)
     only = Engine(blog.spark, BLOG, blog.catalog, access=AccessPolicy(allowed=lambda c, e: {"id"} if e == "user" else None))
@@ -304,13 +306,85 @@ def test_cached_access():
     assert len(asked) == 4 and policy.invalidate(entity="b") == 0
 
 
+def test_cached_access_looks_at_all_of_a_context(tmp_path):
+    for store in (TimedStore(60), FolderStore(str(tmp_path / "answers"))):
+        policy = CachedAccessPolicy(AccessPolicy(entities={"a": lambda c: bool(c.more.get("vip")) or c.user == "a:b"}), store)
+        assert policy.entity_ok("a", Context("u", more={"vip": True})) and not policy.entity_ok("a", Context("u"))
+        assert policy.entity_ok("a", Context("a:b", "c")) and not policy.entity_ok("a", Context("a", "b:c"))
+        assert not policy.entity_ok("a", Context("u", more={"vip": 0})) and policy.invalidate(user="u") == 3 and policy.invalidate() == 2
+
+
+def test_folder_store(tmp_path):
+    now = [0.0]
+    store, other = (FolderStore(str(tmp_path / "s"), 60, lambda: now[0]) for _ in range(2))
+    store.put("k", False)
+    assert other.get("k") is False and other.get("x") is None
+    now[0] = 61
+    assert other.get("k") is None and other.drop(lambda k: k == "k") == 1 and store.drop(lambda k: True) == 0
+
+
+SECRET = Schema(
+    {
+        "cust": Entity(("id", "name"), computed={"place": Computed(("nation.name",), concat("{nation.name}"), "string"), "title": Computed(("name",), concat("{name}!"), "string")}),
+        "nation": Entity(("id", "name", "zone")), "sale": Entity(("id",)),
+    },
+    {"cust.nation": Join("nation", "nations.id = custs.nation_id"), "sale.cust": Join("cust", "custs.id = sales.cust_id"), "nation.custs": Join("cust", "custs.nation_id = nations.id", True)},
+)
+
+
+@pytest.mark.parametrize(("policy", "place", "title"), [
+    (AccessPolicy(), ["openland", "hiddenland"], True), (AccessPolicy(entities={"nation": roles("admin")}), None, True),
+    (AccessPolicy(fields={"nation.name": roles("admin")}), None, True), (AccessPolicy(fields={"cust.name": roles("admin")}), ["openland", "hiddenland"], False),
+    (AccessPolicy(rows={"nation": lambda c: {"field": "zone", "op": "eq", "value": 1}}), ["openland", None], True),
+    (AccessPolicy(allowed=lambda c, e: {"id"} if e == "nation" else None), None, True),
+])
+def test_computed_fields_keep_to_the_rules(spark, policy, place, title):
+    engine = Engine(spark, SECRET, {
+        "custs": spark.createDataFrame([(1, "ann", 1), (2, "bob", 2)], "id int, name string, nation_id int"),
+        "nations": spark.createDataFrame([(1, "openland", 1), (2, "hiddenland", 2)], "id int, name string, zone int"),
+        "sales": spark.createDataFrame([(10, 1), (11, 2)], "id int, cust_id int"),
+    }, access=policy)
+    hidden = lambda x: None if x in (None, "") else x
+    root = engine.execute("{ cust { id place title } }", "ql")["items"]
+    nested = [r["cust"] for r in engine.execute("{ sale { cust { id place title } } }", "ql")["items"]]
+    both = engine.execute("{ cust { id place title nation { id } } }", "ql")["items"]
+    points = [engine.execute("{ cust { id place title } }", "ql", id=i) for i in (1, 2)]
+    flat = engine.flat("{ cust { id title } }", "ql")
+    for rows in (root, nested, both, points):
+        assert [hidden(r.get("place")) for r in rows] == (place or [None, None]) and all(("place" in r) == (place is not None) for r in rows)
+        assert [r.get("title") for r in rows] == (["ann!", "bob!"] if title else [None, None])
+    assert ("cust_name" in flat.columns) == title
+
+
+def test_plugins_see_flat_rows(spark, users):
+    class Only(Plugin):
+        def on_plan(self, plan, context):
+            plan.where = wire_filter({"field": "id", "op": "eq", "value": 1}, "test", aggregates=False)
+            return plan
+
+    own = Engine(spark, USERS, users.catalog).use(Only())
+    assert own.dataframe(q(), unpaged=True).count() == 1 and own.flat(q()).count() == 1
+
+
+def test_many_records_by_one_read(spark, users):
+    own = Engine(spark, USERS, users.catalog, access=AccessPolicy(points={"user": lambda c, id: str(id) != "2"}))
+    assert own.records(q("name"), [1, 2, "7"]) == {"1": {"name": "Mira"}}
+    assert users.records(q("name"), ["1", 2]) == {"1": {"name": "Mira"}, "2": {"name": "Tovah"}} and users.records(q(), []) == {}
+
+
+def test_lazy_pages(blog):
+    query = {"post": {"$select": {"id": True, "tags": {"$select": {"name": True}}, "comments": {"$select": {"body": True}}}, "$page": {"first": 2}}}
+    rows = [r.asDict(True) for r in blog.dataframe(query).collect()]
+    assert rows == blog.execute(query)["items"]
+
+
 def test_federation(spark):
-    left = Catalog({"users": spark.createDataFrame([(1, "Ada")], "id int, name string")})
-    right = Catalog({"tokens": spark.createDataFrame([(1, 1, "t", "x")], "id int, user_id int, access_token string, expires_at string"), "users": spark.createDataFrame([(1, "other")], "id int, name string")})
+    left = Catalog({"users": spark.createDataFrame([(1, "Mira")], "id int, name string")})
+    right = Catalog({"tokens": spark.createDataFrame([(1, 1, "t", "x")], "id int, user_id int, key_text string, valid_until string"), "users": spark.createDataFrame([(1, "other")], "id int, name string")})
     with pytest.raises(ResolverError):
         Federation({"l": left, "r": right}).table("users")
     engine = Engine(spark, USERS, Federation({"l": left, "r": right}, {"users": "l"}))
-    assert engine.execute("{ user { name tokens { accessToken } } }", "ql", id=1) == {"name": "Ada", "tokens": [{"accessToken": "t"}]}
+    assert engine.execute("{ user { name tokens { keyText } } }", "ql", id=1) == {"name": "Mira", "tokens": [{"keyText": "t"}]}
     with pytest.raises(ResolverError):
         engine.execute("{ user { notes { body } } }", "ql")
 
@@ -318,7 +392,7 @@ def test_federation(spark):
 def test_default_page_options(spark, users):
     small = Engine(spark, USERS, users.catalog, Options(default_first=1, max_first=1, nested_first=1))
     assert len(small.execute(q())["items"]) == 1
-    assert len(small.execute("{ user { id tokens { accessToken } } }", "ql")["items"][0]["tokens"]) == 1
+    assert len(small.execute("{ user { id tokens { keyText } } }", "ql")["items"][0]["tokens"]) == 1
     with pytest.raises(ValidationError):
         small.execute(q(page={"first": 2}))
 
