@@ -4,7 +4,8 @@ A text is looked at where digits, an @ or a spelled-out at stand.  There its tok
 marks) are cut into segments: an entity of up to LONGEST tokens, or one token of other text.  Features describe a whole
 segment: its shape, count of digits, check sum, octets, what stands before and after.  Dynamic programming over the
 bounded segments finds the best boundaries and types together.  The four base patterns are fixed segments; the field
-adds what they miss (a phone number without country code, a spelled-out address, a card with other separators).
+adds what they miss (a phone number without country code, a spelled-out address, a card with other separators) and
+secrets: runs of letters and digits mixed, such as access keys, tokens and passwords.
 
 It is trained here by gradient ascent of the conditional likelihood, on texts made from words of a bounded sample of
 the documents with entities and look-alikes put in, and on the sample's own base matches.
@@ -35,7 +36,11 @@ from pyspark.sql import functions as F
 
 from treeline.llm.common import hashed_unit, long_id, sliced, text_or_empty
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+#: The kinds that have base patterns.
+BASE_KINDS = KINDS[:4]
+#: Characters of the shortest run of mixed letters and digits that may be a secret.
+LEAST_MIXED = 16
 #: Tokens of the longest entity; feature rows (a power of two); documents in the sample, none longer than so many characters.
 LONGEST, ROWS, SAMPLE_DOCS, SAMPLE_LONGEST = 20, 1 << 15, 300, 8_000
 #: Digits of a number that can be an entity (with three dots, fewer will do).
@@ -54,7 +59,7 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT, _DIGITS = re.compile(r"[0-9]"), re.compile(r"[0-9]+")
 _TRIGGER = re.compile(r"[0-9@]|[\[(] ?at ?[\])]")
-_TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
+_TOKEN = re.compile(rf"(?=[A-Za-z0-9]{{{LEAST_MIXED}}})(?:[A-Za-z]++[0-9]|[0-9]++[A-Za-z])[A-Za-z0-9]*+|[^\W\d_]+|[0-9]+|\S")
 _MAIL = re.compile(r"[\w%+-]+(?:\.[\w%+-]+)* ?(?:@|\[ ?at ?\]|\( ?at ?\)) ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _NUMERIC = frozenset("+().-/ ")
 Span = tuple[str, int, int]
@@ -148,7 +153,9 @@ def candidates(text: str, tokens: list[Token], taken: list[bool], first: int, la
         word = tokens[i][2]
         if taken[i] or not (word[0].isalnum() or word in "+("):
             continue
-        numeric = word[0] in "+(" or "0" <= word[0] <= "9"
+        if mixed(word):
+            yield i, i + 1, rows_of(text, tokens, i, i + 1)
+        numeric = word[0] in "+(" or (word.isascii() and word.isdigit())
         spelled, gaps, digits, dots = False, 0, 0, 0
         for j in range(i, min(count, i + LONGEST)):
             a, _, w = tokens[j]
@@ -158,7 +165,7 @@ def candidates(text: str, tokens: list[Token], taken: list[bool], first: int, la
                 gaps += 1
                 if gap > 1 or gaps > 8:
                     break
-            digit = "0" <= w[0] <= "9"
+            digit = w.isascii() and w.isdigit()
             numeric = numeric and (digit or w in _NUMERIC)
             digits, dots = digits + digit * len(w), dots + (w == ".")
             if digits > MOST_DIGITS and not spelled:
@@ -168,9 +175,18 @@ def candidates(text: str, tokens: list[Token], taken: list[bool], first: int, la
                 yield i, j + 1, rows_of(text, tokens, i, j + 1)
 
 
+def mixed(word: str) -> bool:
+    """Whether a token is a run of letters and digits that may be a secret."""
+    return len(word) >= LEAST_MIXED and word.isascii() and word.isalnum() and not word.isalpha() and not word.isdigit()
+
+
 def rows_of(text: str, tokens: list[Token], i: int, j: int) -> list[int]:
     a, b = tokens[i][0], tokens[j - 1][1]
-    return feature_rows(text[a:b], text[a - 1] if a else " ", text[b : b + 2], tokens[i - 1][2].lower()[:20] if i else "", j - i)
+    k = i - 1
+    if mixed(text[a:b]):
+        while k > max(0, i - 4) and tokens[k][2] in "=:\"'":  # to the word that names it
+            k -= 1
+    return feature_rows(text[a:b], text[a - 1] if a else " ", text[b : b + 2], tokens[k][2].lower()[:20] if i else "", j - i)
 
 
 def lattices(text: str, begin: int, end: int, covered: Covered) -> Iterator[tuple[list[Token], list[Segment]]]:
@@ -205,6 +221,10 @@ def feature_rows(span: str, before: str, after: str, word: str, size: int) -> li
         f"glued {glued}", f"first {span[0] if not span[0].isalpha() else 'a'} {min(len(digits), 16)}", f"word {word}",
         f"at {at} {'.' in span.rpartition('@')[2]}", f"mail {bool(_MAIL.fullmatch(span))} {glued}", f"runs {len(_DIGITS.findall(span))} {len(digits)}", f"size {min(size, 20)}",
     ]
+    if mixed(span):  # of these, what stands in for the shape
+        runs = len(_DIGITS.findall(span))
+        told[1:4] = f"hex {not span.lower().strip('0123456789abcdef')} {span.isupper()} {span.islower()}", f"share {len(digits) * 5 // len(span)} {min(runs, 5)}", f"length {min(len(span), 44)} {runs > 2}"
+        told[6] = f"start {span[:4]}"
     return [zlib.crc32(x.encode()) % ROWS for x in told]
 
 
@@ -282,8 +302,20 @@ def example(rnd: random.Random, words: list[str]) -> tuple[str, list[Span]]:
         body = rnd.choice("3456") + n(14)
         return next(body + d for d in "0123456789" if luhn(body + d))
 
+    hexed = lambda k: "".join(rnd.choices("0123456789abcdef", k=k))
+    any_ = lambda k: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=k))
+
+    def secret() -> tuple[str, str]:
+        """What comes before it, and itself."""
+        named = rnd.choice(["password=", "token=", "token = \"", "secret: ", "key=", "api key: ", "pwd=\"", "passwd: ", "auth token "])
+        return rnd.choice([
+            lambda: (named, hexed(rnd.choice([16, 18, 20, 24, 32, 40, 64]))), lambda: (named, any_(rnd.randint(16, 44))),
+            lambda: (rnd.choice(["", "", named]), rnd.choice(["AKIA", "ASIA"]) + "".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=16))),
+            lambda: (rnd.choice(["", named]), any_(rnd.randint(28, 44))),
+        ])()
+
     def entity() -> tuple[str, str]:
-        kind = rnd.choice(KINDS)
+        kind = rnd.choice(BASE_KINDS)
         if kind == "phone":
             p = (n(3), n(3), n(4))
             return kind, rnd.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "+{}-{}-{}", "001 {} {} {}", "({}) {} {}", "+1 ({}) {}-{}"]).format(*p)
@@ -301,13 +333,19 @@ def example(rnd: random.Random, words: list[str]) -> tuple[str, list[Span]]:
             lambda: f"{rnd.randint(1, 9)}.{rnd.randint(0, 20)}", lambda: f"{rnd.randint(0, 9)}.{rnd.randint(0, 20)}.{rnd.randint(0, 99)}", lambda: n(rnd.randint(1, 12)),
             lambda: f"{rnd.randint(1, 999)},{n(3)},{n(3)}", lambda: f"#{n(8)}", lambda: f"{rnd.randint(1, 23)}:{n(2)}", lambda: f"password={name()}{n(6)}", lambda: f"AK{n(3)}{name().upper()}{n(2)}",
             lambda: f"@{name()}", lambda: f"({rnd.randint(1900, 2030)})", lambda: f"{n(3)}-{n(4)}", lambda: f"{n(4)}-{n(4)}", lambda: f"{n(2)} {n(3)} {n(2)}", lambda: f"{n(16)}{n(8)}",
-            lambda: f"v{n(1)}.{n(1)}.{n(1)}.{n(1)}.{n(1)}", lambda: f"{n(3)} {n(4)}", lambda: f"{n(4)}–{n(4)}", lambda: f"pp. {n(3)}-{n(3)}", lambda: f"ISBN 978-{n(1)}-{n(3)}-{n(5)}-{n(1)}", lambda: f"{n(10)}",
+            lambda: f"v{n(1)}.{n(1)}.{n(1)}.{n(1)}.{n(1)}", lambda: f"{n(3)} {n(4)}", lambda: f"{n(4)}–{n(4)}", lambda: f"{n(8)}T{n(6)}Z", lambda: f"IMG{n(8)}{n(6)}", lambda: f"{name()}{name()}{name()}{n(2)}", lambda: f"pp. {n(3)}-{n(3)}", lambda: f"ISBN 978-{n(1)}-{n(3)}-{n(5)}-{n(1)}", lambda: f"{n(10)}",
         ])()
 
     text, out = "", []
     for _ in range(rnd.randint(1, 2)):
         text += " ".join(rnd.choices(words, k=rnd.randint(1, 4))) + " "
-        if rnd.random() < 0.5:
+        if (draw := rnd.random()) < 0.12:
+            before, what = secret()
+            text += before
+            if mixed(what):
+                out.append(("secret", len(text), len(text) + len(what)))
+            text += what + ('"' if before.endswith('"') else "")
+        elif draw < 0.55:
             kind, what = entity()
             out.append((kind, len(text), len(text) + len(what)))
             text += what
@@ -321,15 +359,17 @@ def trained(sample: list[str], examples: int = 2500, steps: int = 150, seed: int
     """Weights that raise the likelihood of the true segmentations; forward and backward sums over all examples at once."""
     rnd = random.Random(seed)
     words = [w for t in sample for w in re.findall(r"[^\W\d_]+[.,]?", t)][:50_000] or ["some", "words", "here", "call", "write"]
-    lines = [example(rnd, words) for _ in range(examples)]
+    lines = [(*example(rnd, words), True) for _ in range(examples)]
     for t in sample:
         base = base_spans(t)
-        lines += [(t[a:b], [(k, s - a, e - a) for k, s, e in base if s >= a and e <= b]) for a, b in regions(t)]
+        lines += [(t[a:b], [(k, s - a, e - a) for k, s, e in base if s >= a and e <= b], False) for a, b in regions(t)]
     rows, start, stop, line, gold = [], [], [], [], []
-    for n, (text, spans) in enumerate(lines[: 2 * examples]):
+    for n, (text, spans, told) in enumerate(lines[: 2 * examples]):
         known = {(s, e): KINDS.index(k) for k, s, e in spans}
         tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text)]
         for i, j, r in candidates(text, tokens, [False] * len(tokens), 0, len(tokens)):
+            if not told and j == i + 1 and mixed(tokens[i][2]):
+                continue  # of the sample's own text nobody says what is secret
             rows.append(r)
             start.append(i)
             stop.append(j)
@@ -378,24 +418,25 @@ def written_out(spans: list[Span]) -> str:
 
 
 def found(docs: DataFrame, field: SemiMarkov | None = None) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 (of the base spans), spans (all), n_added of every row."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 (of the base spans), spans (all), n_added, n_spans of every row."""
     of = docs.sparkSession.sparkContext.broadcast(field or learned(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            counts, digest, every, more = [[] for _ in KINDS], [], [], []
+            counts, digest, every, more, all_ = [[] for _ in BASE_KINDS], [], [], [], []
             for text in batch.column("_text"):
                 base, spans = of.value.spans(text.as_py())
-                for n, kind in enumerate(KINDS):
+                for n, kind in enumerate(BASE_KINDS):
                     counts[n].append(sum(k == kind for k, _, _ in base))
                 digest.append(hashlib.sha256(written_out(base).encode()).hexdigest())
                 every.append(written_out(spans))
                 more.append(len(spans) - len(base))
+                all_.append(len(spans))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in counts], pa.array(digest, pa.string()), pa.array(every, pa.string()), pa.array(more, pa.int64())],
-                names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"],
+                [batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in counts], pa.array(digest, pa.string()), pa.array(every, pa.string()), pa.array(more, pa.int64()), pa.array(all_, pa.int64())],
+                names=["doc_id", *[f"n_{k}" for k in BASE_KINDS], "base_sha256", "spans", "n_added", "n_spans"],
             )
 
     return docs.select(long_id(docs).alias("doc_id"), text_or_empty().alias("_text")).mapInArrow(
-        run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+        run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
     )
