@@ -1,17 +1,24 @@
 """Vectors, conversations, the pipeline, and the entry module's guard."""
 
+import base64
 import collections
 import hashlib
 import importlib
 import json
 import math
+import os
 import random
+import re
 import subprocess
 import sys
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import tiktoken
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+from test_documents import brute_components, brute_targets
 
 from treeline.llm import ann, byte_bpe, chat_format, exact_dedup, jaccard, language_id, source_mix
 
@@ -212,16 +219,26 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert once.columns == columns and {r["doc_id"] for r in found.collect()} - {r["doc_id"] for r in once.collect()} == {200, 204}
     apart = stage["ngram_jaccard"](spark, once, folder)
     left = {r["doc_id"] for r in apart.collect()}
-    assert apart.columns == columns and 201 not in left and left == {r["doc_id"] for r in jaccard.near_duplicates(once).collect() if r["doc_id"] == r["component_id"]}
+    assert apart.columns == columns and 201 not in left
+    assert left == {i for i, _, root in brute_components([(r["doc_id"], r["text"]) for r in once.collect()]) if i == root}
     mix = stage["source_mix"](spark, apart, folder)
-    copies = {r["doc_id"]: r["copies"] for r in source_mix.mixed(apart).collect() if r["copies"]}
+    sizes, copies = collections.Counter(), {}
+    for r in apart.collect():
+        sizes[r["source"]] += len(re.findall("[^\x20\x09-\x0d]+", r["text"]))
+    target = brute_targets(sizes)
+    for r in apart.collect():
+        rate = target[r["source"]] / sizes[r["source"]]
+        draw = int(hashlib.md5(f"mix-1:{r['doc_id']}".encode()).hexdigest()[:13], 16) / 2**52
+        if n := math.floor(rate) + (draw < rate - math.floor(rate)):
+            copies[r["doc_id"]] = n
     assert mix.columns == columns and collections.Counter(r["doc_id"] for r in mix.collect()) == copies
     texts = {r["doc_id"]: r["text"] for r in apart.collect()}
     want = collections.Counter()
     import public_tokenizers
 
     with open(public_tokenizers.path(byte_bpe.VOCABULARY), "rb") as f:
-        core = byte_bpe.ByteBPE(f.read(), public_tokenizers.PATTERN).core
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    core = tiktoken.Encoding("whole", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     for i, n in copies.items():
         want[(i, tuple(core.encode_ordinary(texts[i])))] += n
     got = collections.Counter((r["doc_id"], tuple(r["tokens"])) for r in pipeline.run(spark, folder).collect())
