@@ -13,7 +13,7 @@ from treeline.integrity import PersistedQueries, Tokens, content_hash, decode_he
 from treeline.plugins import Answer, ComplexityLimit, DepthLimit, Logger, Plugin, RateLimit, seconds
 from treeline.schema import Entity, Join, Schema, Through
 from treeline.sources.catalog import Catalog, write
-from treeline.sources.infer import from_dataframes, from_prisma, from_sdl, from_tables
+from treeline.sources.infer import from_dataframes, from_drizzle, from_prisma, from_sdl, from_tables
 from treeline.streaming.live import Event, changed, channel, decoded, encode, live, parse_channel, request_rates
 from treeline.streaming.pubsub import FolderPubSub, MemoryPubSub, follow
 
@@ -323,3 +323,36 @@ def test_entry_without_a_library_of_the_training_parts(tmp_path):
     code = "import sys; sys.modules['tiktoken'] = None; import __spark_entry__ as e; q = e.queries(); print(len(q) > 50, 'page_first' in q, any(n.startswith('op5') for n in q), set(e.oracle_sql()) <= set(q))"
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[1], timeout=120)
     assert out.stdout.split() == ["True", "True", "False", "True"], out.stderr
+
+
+DRIZZLE = """
+import { pgTable, serial, text, integer, primaryKey } from "some-orm"; // { not a table
+export const writers = pgTable("writer_rows", {
+  id: serial("id").primaryKey(), penName: text("pen_name").notNull().default("a, b"), boss: integer("boss_id"),
+});
+export const books = pgTable("books", { isbn: text("isbn").primaryKey(), title: text("title"), writerId: integer("writer_id").references(() => writers.id) });
+export const copies = pgTable("copies", { book: text("book_isbn"), shelf: integer(), }, (t) => ({ pk: primaryKey({ columns: [t.book, t.shelf] }) }));
+export const writersRelations = relations(writers, ({ one, many }) => ({ books: many(books), boss: one(writers, { fields: [writers.boss], references: [writers.id] }) }));
+export const booksRelations = relations(books, ({ one, many }) => ({
+  writer: one(writers, { fields: [books.writerId], references: [writers.id] }), copies: many(copies),
+}));
+export const copiesRelations = relations(copies, ({ one }) => ({ of: one(books, { fields: [copies.book], references: [books.isbn] }) }));
+"""
+
+
+def test_from_drizzle(spark):
+    schema = from_drizzle(DRIZZLE)
+    assert schema.entities["writer"] == Entity(("id", "penName", "boss"), "id", "writer_rows", {"penName": "pen_name", "boss": "boss_id"})
+    assert schema.entities["book"].id == "isbn" and schema.entities["copie"].id == ("book", "shelf")
+    assert schema.joins["writer.books"] == Join("book", "parent.id = child.writer_id", True)
+    assert schema.joins["book.writer"].on == "parent.writer_id = child.id" and schema.joins["book.copies"].on == "parent.isbn = child.book_isbn"
+    assert schema.joins["writer.boss"] == Join("writer", "parent.boss_id = child.id")
+    own = Engine(spark, schema, {
+        "writer_rows": spark.createDataFrame([(1, "Ines", None), (2, "Olu", 1)], "id int, pen_name string, boss_id int"),
+        "books": spark.createDataFrame([("x1", "Tides", 2), ("x2", "Moss", 2)], "isbn string, title string, writer_id int"),
+        "copies": spark.createDataFrame([("x1", 4)], "book_isbn string, shelf int"),
+    })
+    got = own.execute("{ writer { penName boss { penName } books { title copies { shelf } } } }", "ql", id=2)
+    assert got == {"penName": "Olu", "boss": {"penName": "Ines"}, "books": [{"title": "Tides", "copies": [{"shelf": 4}]}, {"title": "Moss", "copies": []}]}
+    with pytest.raises(SchemaError):
+        from_drizzle("const a = 1")

@@ -1,4 +1,4 @@
-"""Schemas from other definitions: Prisma models, GraphQL types, table descriptions, DataFrames."""
+"""Schemas from other definitions: Prisma models, Drizzle tables, GraphQL types, table descriptions, DataFrames."""
 
 from __future__ import annotations
 
@@ -143,6 +143,79 @@ def from_tables(tables: Mapping[str, Mapping], key: Callable[[str], str] | None
     return Schema(entities, joins).checked()
 
 
+def _enclosed(text: str, at: int) -> str:
+    """What stands between the bracket at ``at`` and the one that closes it."""
+    depth, quote = 0, ""
+    for n in range(at, len(text)):
+        c = text[n]
+        if quote:
+            quote = "" if c == quote and text[n - 1] != "\\" else quote
+        elif c in "\"'`":
+            quote = c
+        elif c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth -= 1
+            if not depth:
+                return text[at + 1 : n]
+    raise SchemaError("a bracket is never closed")
+
+
+def _entries(text: str) -> dict[str, str]:
+    """The ``name: value`` entries of an object's body."""
+    out, depth, quote, begun = [], 0, "", 0
+    for n, c in enumerate(text):
+        if quote:
+            quote = "" if c == quote and text[n - 1] != "\\" else quote
+        elif c in "\"'`":
+            quote = c
+        else:
+            depth += (c in "([{") - (c in ")]}")
+            if c == "," and not depth:
+                out.append(text[begun:n])
+                begun = n + 1
+    out.append(text[begun:])
+    return {m[1]: m[2] for part in out if (m := re.match(r"\s*[\"']?(\w+)[\"']?\s*:\s*(.*)", part, re.DOTALL))}
+
+
+def from_drizzle(source: str, key: Callable[[str], str] | None = None) -> Schema:
+    """A schema from a Drizzle module: tables with their renamed columns and primary keys, and ``relations`` of either
+    side.  ``key``: the entity of an exported table, by default its name without a final s."""
+    key = key or (lambda t: t[:-1] if t.endswith("s") else t)
+    source = re.sub(r"//[^\n]*|/\*.*?\*/", "", source, flags=re.DOTALL)
+    names, tables = {}, {}
+    for m in re.finditer(r"(\w+)\s*=\s*\w*[tT]able\(\s*[\"'`](\w+)[\"'`]\s*,\s*", source):
+        body = _entries(_enclosed(source, m.end()))
+        columns = {f: (re.match(r"\w+\(\s*[\"'`]([^\"'`]+)", x) or [None, f])[1] for f, x in body.items()}
+        ids = [f for f, x in body.items() if ".primaryKey(" in x]
+        rest = _enclosed(source, source.index("(", m.start()))
+        if several := re.search(r"primaryKey\(\s*\{\s*columns\s*:\s*\[([^\]]*)\]", rest):
+            ids = re.findall(r"\.(\w+)", several[1])
+        names[m[1]] = m[2]
+        tables[m[2]] = {"columns": columns, "id": ids[0] if len(ids) == 1 else tuple(ids) or "id", "relations": {}}
+    if not tables:
+        raise SchemaError("the source defines no table")
+    told: dict[str, dict[str, dict]] = {}
+    for m in re.finditer(r"\brelations\(\s*(\w+)\s*,[^=]*=>\s*\(\s*", source):
+        for name, x in _entries(_enclosed(source, m.end())).items():
+            kind = re.match(r"(one|many)\(\s*(\w+)", x)
+            if kind and kind[2] in names:
+                part = lambda what, x=x: re.findall(r"\.(\w+)", (re.search(rf"{what}\s*:\s*\[([^\]]*)\]", x) or ["", ""])[1])
+                label = re.search(r"relationName\s*:\s*[\"'`](\w+)", x)
+                told.setdefault(m[1], {})[name] = {"table": kind[2], "many": kind[1] == "many", "fields": part("fields"), "references": part("references"), "label": label and label[1]}
+    for table, relations in told.items():
+        for name, r in relations.items():
+            fields, references = r["fields"], r["references"]
+            if not fields:
+                facing = [f for f in told.get(r["table"], {}).values() if f["table"] == table and f["fields"] and f["label"] == r["label"]]
+                if not facing:
+                    raise SchemaError(f"the relation '{table}.{name}' has no other side")
+                fields, references = facing[0]["references"], facing[0]["fields"]
+            tables[names[table]]["relations"][name] = {"table": names[r["table"]], "fields": fields, "references": references, "many": r["many"]}
+    exported = {v: k for k, v in names.items()}
+    return from_tables(tables, lambda t: key(exported[t]))
+
+
 def from_dataframes(frames: Mapping[str, DataFrame], ids: Mapping[str, str | tuple[str, ...] | None] | None = None, joins: Mapping[str, Join] | None = None) -> Schema:
     """A schema with every column of every frame; the entity is named as the frame, its id is its first column or as told."""
     out = {}
