@@ -302,11 +302,12 @@ def test_near_duplicates(spark, rows):
 def test_near_duplicates_when_all_tokens_are_frequent(spark, monkeypatch):
     rows = chains(5)
     monkeypatch.setattr(jaccard.Frequencies, "__init__", lambda self, level: self.__dict__.update(level=level, shift=np.uint64(64 - int(len(level)).bit_length() + 1), rare=int(jaccard.levels(np.array([2.5]))[0])))
-    monkeypatch.setattr(jaccard, "TOGETHER", 20)
+    monkeypatch.setattr(jaccard, "MOST_TOGETHER", 20)
+    monkeypatch.setattr(jaccard, "LEAST_TOGETHER", 7)
     monkeypatch.setattr(jaccard, "HUBS", 2)
-    monkeypatch.setattr(jaccard, "ASKING", 7)
     assert sorted(rows_of(jaccard.near_duplicates(table(spark, rows)))) == sorted(brute_components(rows))
-    monkeypatch.setattr(jaccard, "TOGETHER", 1000)
+    monkeypatch.setattr(jaccard, "MOST_TOGETHER", 1000)
+    monkeypatch.setattr(jaccard, "LEAST_TOGETHER", 1000)
     monkeypatch.setattr(jaccard, "TOKENS_TOGETHER", 400)
     assert sorted(rows_of(jaccard.near_duplicates(table(spark, rows)))) == sorted(brute_components(rows))
 

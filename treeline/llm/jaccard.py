@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.llm.arrays import byte_column, mix, spans_of_bytes
@@ -47,9 +47,11 @@ WIDTH, PERCENT = 5, 75
 EXTRA, LIGHT = 4, 24
 #: The sketch has a counter for each so many words, within these bounds (as powers of two).
 WORDS_EACH, LEAST_BITS, MOST_BITS = 8, 18, 25
-#: Records of an index partition, counters of a sketch block; sets of a cluster verified together, and tokens of them;
-#: sets that go around the blocks of a cluster together; pairs of an index partition that are held at once.
-RECORDS, BLOCK, TOGETHER, TOKENS_TOGETHER, ASKING, PAIRS = 1_000_000, 1 << 12, 128, 1 << 21, 512, 1 << 21
+#: Records of an index partition, counters of a sketch block; pairs of an index partition that are held at once.
+RECORDS, BLOCK, PAIRS = 1_000_000, 1 << 12, 1 << 21
+#: Sets of a cluster that are verified together: at most, and tokens of them at most; at least, while a cluster has fewer
+#: blocks than SPREAD.
+MOST_TOGETHER, TOKENS_TOGETHER, LEAST_TOGETHER, SPREAD = 1024, 1 << 21, 64, 32
 #: Sets of a cluster that all its blocks hold.
 HUBS = 16
 STEP, FLUSH = 4 << 20, 600_000
@@ -487,16 +489,21 @@ def block_links(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys, "sig").mapInArrow(check, "a long, b long")
 
 
+def blocks_of(count: Column) -> Column:
+    """Into how many blocks so many sets are dealt."""
+    return F.greatest(F.ceil(count / F.lit(float(MOST_TOGETHER))), F.least(F.lit(SPREAD), F.ceil(count / F.lit(float(LEAST_TOGETHER))))).cast("int")
+
+
 def clustered(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links that connect the sets of each cluster as all their links would; ``members``: sig, root, n, inner (whether the
     set may be the smaller one of a link that frequent tokens alone find).
 
-    A cluster is dealt by hash into blocks of about TOGETHER sets (of about TOKENS_TOGETHER tokens, if these are fewer),
-    and each block is searched by itself, with some hubs of the cluster that all its blocks hold: they tie together what
-    belongs to one large group of near copies.  Of a cluster in several blocks, the sets outside its greatest component
-    (mostly few) then go around its blocks, ASKING at a time: the inner ones meet all sets, the others the inner sets.
+    A cluster is dealt by hash into blocks (``blocks_of``, or more where TOKENS_TOGETHER asks for it), and each block is
+    searched by itself, with some hubs of the cluster that all its blocks hold: they tie together what belongs to one large
+    group of near copies.  Of a cluster in several blocks, the sets outside its greatest component (mostly few) then go
+    around its blocks, in chunks dealt likewise: the inner ones meet all sets, the others the inner sets.
     """
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(float(TOGETHER))), F.ceil(F.sum("n") / F.lit(float(TOKENS_TOGETHER)))).cast("int")
+    blocks = F.greatest(blocks_of(F.count(F.lit(1))), F.ceil(F.sum("n") / F.lit(float(TOKENS_TOGETHER))).cast("int"))
     size = members.groupBy("root").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("rows"))
     rows = joined_by_group(members, size, "root", "rows").drop("rows")
     rows = written(rows.withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")), "blocks")
@@ -515,7 +522,7 @@ def clustered(members: DataFrame, sets: DataFrame) -> DataFrame:
     count = several.groupBy("root").agg(F.count(F.lit(1)).alias("rows"))
     outside = joined_by_group(several, greatest.join(count, "root"), "root", "rows").filter("comp <> most").drop("most", "rows")
     outside = written(outside, "outside")
-    chunks = outside.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(ASKING))).cast("int").alias("chunks")).join(count, "root")
+    chunks = outside.groupBy("root").agg(blocks_of(F.count(F.lit(1))).alias("chunks")).join(count, "root")
     each = lambda df: joined_by_group(df, chunks, "root", "rows").drop("rows")
     asking = each(outside).select(
         "root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("inner").alias("all"),
