@@ -61,12 +61,24 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
             raise ValueError(f"'{p}' is no scratch table")
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _scratch[:] = [p for p in _scratch if p.rsplit("/", 1)[-1] not in {q.rsplit("/", 1)[-1] for q in paths}]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def modest_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Fewer rows in an Arrow batch, for sessions of small executors: what the JVM and Python hold of one text column.
+
+    For those that own the session, such as the registered queries; the operators leave its settings alone, and bound by
+    ``sliced`` what they make of a batch, whatever its size.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Each Arrow batch in slices of at most ``rows`` rows and about ``size`` bytes: bounds what Python makes of one."""
     for batch in batches:

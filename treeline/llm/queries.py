@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm import ann, byte_bpe, chat_format, exact_dedup, jaccard, language_id, lm, pii, source_mix, toxicity
-from treeline.llm.common import table
+from treeline.llm import ann, byte_bpe, chat_format, common, exact_dedup, jaccard, language_id, lm, pii, source_mix, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    common.modest_batches(spark)
+    return common.table(spark, sf_dir, name)
+
+
 def op1_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.searched(table(spark, sf_dir, "embeddings"))
 
