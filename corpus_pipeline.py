@@ -5,31 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from treeline.llm import byte_bpe, exact_dedup, jaccard, language_id, source_mix
-from treeline.llm.common import table, written
+from treeline.llm.common import modest_batches, table, written
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents in none of the corpus's languages go (no letters, or no language clearly best)."""
+    modest_batches(spark)
     return language_id.accepted(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact dedup: of equal texts the document with the least id stays."""
+    modest_batches(spark)
     return exact_dedup.kept_rows(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each group of near copies the document with the least id stays."""
+    modest_batches(spark)
     return jaccard.kept_rows(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing sources to target weights: documents come as often as their source's rate says."""
+    modest_batches(spark)
     return source_mix.emitted(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE: doc_id, n_tokens and tokens of each document (of each copy, where it comes more than once)."""
+    modest_batches(spark)
     return byte_bpe.encoded(docs)
 
 
