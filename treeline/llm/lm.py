@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.llm.arrays import KeyTable, byte_column, mix
-from treeline.llm.common import fold, hashed_unit, long_id, sliced, text_or_empty, written
+from treeline.llm.common import dropped, fold, hashed_unit, long_id, sliced, text_or_empty, written
 from treeline.llm.shingles import _SPACE, word_bounds, word_endings, word_hashes
 
 #: Frequent words counted in place; groups of words, bands of a group (the last is that of its rare words).
@@ -549,13 +549,15 @@ def trained(docs: DataFrame, model: MaxEnt) -> MaxEnt:
         sums = train.filter(part == turn).select("_text").coalesce(tasks).mapInArrow(step, "block int, expected binary, seen binary")
         after = MaxEnt.__new__(MaxEnt)
         after.__dict__ |= model.__dict__ | {"weights": [np.ascontiguousarray(w.T).ravel() for w in model.weights]}
-        for r in sums.repartition("block").mapInArrow(total, "block int, change binary").toLocalIterator():
+        changes = written(sums.repartition("block").mapInArrow(total, "block int, change binary"), "changes")
+        for r in changes.toLocalIterator():
             i = (r["block"] & ((1 << 24) - 1)) * BLOCK
             change = np.frombuffer(r["change"], np.float32)
             after.weights[r["block"] >> 24][i : i + len(change)] += change
         after.weights = [np.ascontiguousarray(w.reshape(-1, model.rows).T) for w in after.weights]
         model = after
         shared.unpersist()
+        dropped(spark, changes)
     return model
 
 
