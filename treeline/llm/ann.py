@@ -161,20 +161,27 @@ class Best:
         names = np.full((len(first), most), np.iinfo(np.int64).max)
         names[group[copy < most], copy[copy < most]] = ids[copy < most]
         vectors, packed, keep = vectors[first].astype(np.float64), packed[first], self.nearest + 1
+        longest = np.sqrt((vectors**2).sum(axis=1).max())
         for n, (tables, scale, zero) in enumerate(self.tables):
             own = slice(n * TOGETHER, n * TOGETHER + len(tables))
             total = scan(tables, packed)
             few = min(2 * keep, len(packed))
             top = np.argpartition(total, len(packed) - few, axis=1)[:, -few:]
-            score = np.sort(products(vectors[top], self.queries[own][:, None]), axis=1)[:, -min(keep, few)]
+            score = np.sort(np.einsum("qcd,qd->qc", vectors[top], self.queries[own]), axis=1)[:, -min(keep, few)]
             if few < keep:
                 score[:] = -np.inf
-            last = np.maximum(score, self.score[own, -1]) - ERRORS * self.error * np.sqrt((self.queries[own] ** 2).sum(axis=1))
+            length = np.sqrt((self.queries[own] ** 2).sum(axis=1))
+            sure = np.maximum(score, self.score[own, -1]) - 1e-9 * length * longest  # nothing below it is among the nearest
+            last = sure - ERRORS * self.error * length
             query, row = np.nonzero((total >= ((last - zero) / scale)[:, None]) | ~np.isfinite(last)[:, None])
-            exact = np.empty(len(query))
+            near, exact = [], []
             for i in range(0, len(query), PAIRS):
                 part = slice(i, i + PAIRS)
-                exact[part] = products(vectors[row[part]], self.queries[own][query[part]])
+                some = i + np.flatnonzero(~(np.einsum("pd,pd->p", vectors[row[part]], self.queries[own][query[part]]) < sure[query[part]]))
+                near.append(some)
+                exact.append(products(vectors[row[some]], self.queries[own][query[some]]))
+            near, exact = np.concatenate(near or [np.zeros(0, int)]), np.concatenate(exact or [np.zeros(0)])
+            query, row = query[near], row[near]
             query, found, exact = np.repeat(query, most), names[row].ravel(), np.repeat(exact, most)
             good = (found != self.ids[own][query]) & (found != np.iinfo(np.int64).max)
             old = np.repeat(np.arange(len(tables)), self.nearest)
