@@ -275,6 +275,29 @@ def test_a_product_of_relations_is_dealt_out(spark):
     assert rows.filter("p_id = 1").select(F.spark_partition_id()).distinct().count() > 1
 
 
+def test_joined_rows_nest_without_their_product(blog):
+    from treeline.operators.flat import flat
+
+    asked = []
+    other = Engine(blog.spark, BLOG, blog.catalog).resolve("*", lambda plan, catalog: asked.append(plan) or flat(plan, BLOG, catalog), joined=True)
+    for query in ("{ post { id title comments { body author { name } } tags { name } } }", "{ post { title tags { name } author { name } comments { body } } }"):
+        want = blog.execute(query, "ql")
+        assert other.execute(query, "ql") == want
+        assert other.execute(query, "ql", id=1) == blog.execute(query, "ql", id=1)
+    assert asked and all(len(node.refs) < 2 for plan in asked for node in plan.walk())
+
+
+def test_nested_rows_keep_what_a_distinct_would_change(spark):
+    schema = Schema({"p": Entity(("id", "v", "m"), table="p"), "c": Entity(("id", "s"), table="c")}, {"p.c": Join("c", "c.p = p.id", True)})
+    rows = spark.sql("SELECT * FROM VALUES (1, -0.0D, map('k', 1), 5, 'x'), (1, -0.0D, map('k', 1), 5, 'x'), (1, -0.0D, map('k', 1), 6, 'y'), (2, 0.5D, NULL, NULL, NULL) AS t(p_id, p_v, p_m, c_id, c_s)")
+    engine = Engine(spark, schema, {}).resolve("p", lambda plan, catalog: rows)
+    children = [[{"s": "x"}, {"s": "y"}], []]
+    assert engine.execute("{ p { id m c { s } } }", "ql")["items"] == [{"id": 1, "m": {"k": 1}, "c": children[0]}, {"id": 2, "m": None, "c": children[1]}]
+    got = engine.execute("{ p { id v c { s } } }", "ql")["items"]
+    assert got == [{"id": 1, "v": 0.0, "c": children[0]}, {"id": 2, "v": 0.5, "c": children[1]}] and math.copysign(1, got[0]["v"]) == -1
+    assert engine.execute("{ p { id c { s } } }", "ql")["items"] == [{"id": 1, "c": children[0]}, {"id": 2, "c": children[1]}]
+
+
 def test_column_functions(spark):
     schema = Schema({"t": Entity(("id", "a", "b"), table="t", computed={
         "all": Computed(("a", "b"), joined("-", "a", "b")), "any": Computed(("a", "b"), first_known("a", "b")), "py": Computed(("a",), row_by_row(lambda a: None if a is None else a[::-1], "string", "a")),

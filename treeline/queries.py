@@ -288,7 +288,7 @@ def _resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
     from treeline.operators.flat import flat
 
     own = engine(spark, sf_dir)
-    own.resolve("nation", lambda plan, catalog: flat(plan, SCHEMA, catalog))
+    own.resolve("nation", lambda plan, catalog: flat(plan, SCHEMA, catalog), joined=True)
     out = own.dataframe(_flat, unpaged=True)
     return out.select("n_name", F.size("customers").cast("long").alias("customers"), F.size("suppliers").cast("long").alias("suppliers"))
 
