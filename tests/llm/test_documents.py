@@ -7,13 +7,14 @@ import os
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from treeline.llm import byte_bpe, exact_dedup, jaccard, language_id, lm, pii, source_mix, toxicity
+from treeline.llm import byte_bpe, common, exact_dedup, jaccard, language_id, lm, pii, source_mix, toxicity
 from treeline.llm.arrays import KeyTable, byte_column, spans_of_bytes
 from treeline.llm.common import fold
 from treeline.llm.components import components
@@ -333,6 +334,58 @@ def test_unlike_pages_of_a_template_never_meet(spark):
     assert all(r["doc_id"] == r["component_id"] for r in jaccard.near_duplicates(table(spark, templates(600, lambda i: 10))).collect())
 
 
+def peak_mb(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_batch_is_bounded():
+    text = " ".join(f"word{i * i % 9973}" for i in range(1000))
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{i} {text}" for i in range(400)])], names=["_text"])
+    assert peak_mb(lambda: [None for _ in jaccard.each_set(batch)]) < 80
+    trees = language_id.ContextTrees({"a": [text], "b": [text[::-1]]})
+    assert peak_mb(lambda: trees.lengths(*byte_column(batch.column("_text")))) < 40
+
+
+def test_pairs_of_many_rare_tokens_are_made_by_parts(monkeypatch):
+    draw = np.random.default_rng(5)
+    parts, rare, every = 64, {}, []
+    for part in range(parts):
+        sent = np.zeros(4000, jaccard.SENT)
+        sent["key"], sent["sig"], sent["more"] = draw.integers(0, 2000, 4000), draw.integers(0, 3000, 4000), 1
+        sent["size"] = 200 + sent["sig"] % 9
+        rare[part] = [sent[:1000].tobytes(), sent[1000:].tobytes()]
+        every += [jaccard.received(part, b) for b in rare[part]]
+
+    def counts(batches):
+        out = collections.Counter()
+        for batch in batches:
+            for a, b, na, nb, c in zip(*(batch.column(x).to_pylist() for x in ("a", "b", "na", "nb", "c")), strict=True):
+                out[a, b, na, nb] += c
+        return out
+
+    monkeypatch.setattr(jaccard, "LISTED", 20_000)
+    whole = np.concatenate(every)
+    assert counts(jaccard.listed_pairs(dict(rare))) == counts(jaccard.rare_pairs(whole))
+    by_parts, at_once = (peak_mb(lambda f=f, x=x: [None for _ in f(x)]) for f, x in ((jaccard.listed_pairs, dict(rare)), (jaccard.rare_pairs, whole)))
+    assert by_parts < at_once / 4
+
+
+def test_workers_give_memory_back(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    task = common.tidy(lambda batches: (x * 2 for x in batches))
+    assert list(task(iter([1, 2]))) == [2, 4] and calls == [1]
+    some = task(iter([1, 2]))
+    assert next(some) == 2 and calls == [1]
+    some.close()
+    assert calls == [1, 1]
+
+
 def test_cluster_links():
     rnd = np.random.default_rng(2)
     base = np.unique(rnd.integers(0, 1 << 60, 200).astype(np.uint64))

@@ -26,14 +26,14 @@ import tiktoken
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm.common import long_id, sliced, text_or_empty
+from treeline.llm.common import long_id, sliced, text_or_empty, tidy
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CHUNK, OVERLAP = 1 << 12, 1 << 8
 #: A boundary this far before a chunk's end doesn't depend on what follows: no alternative looks further ahead.
 LOOK = 8
 #: Pre-tokens of up to so many characters are remembered, so many at most.
-SHORT, REMEMBERED = 32, 200_000
+SHORT, REMEMBERED = 32, 100_000
 THREADS = 2
 #: Texts of more chunks than this are pre-tokenised by the threads.
 CHUNKS_POOLED = 16
@@ -145,7 +145,7 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
             )
 
     return docs.select(long_id(docs).alias("doc_id"), text_or_empty().alias("_text")).mapInArrow(
-        run, "doc_id long, n_tokens long, tokens array<int>"
+        tidy(run), "doc_id long, n_tokens long, tokens array<int>"
     )
 
 
@@ -161,7 +161,7 @@ def decoded(rows: DataFrame, path: str | None = None, pattern: str | None = None
                 names=["doc_id", "raw", "text"],
             )
 
-    return rows.select("doc_id", "tokens").mapInArrow(run, "doc_id long, raw binary, text string")
+    return rows.select("doc_id", "tokens").mapInArrow(tidy(run), "doc_id long, raw binary, text string")
 
 
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -182,5 +182,5 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
             )
 
     return docs.select(long_id(docs).alias("doc_id"), text_or_empty().alias("_text")).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

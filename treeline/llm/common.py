@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,6 +88,27 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 8 <<
             yield batch.slice(at, step)
 
 
+def give_back() -> None:
+    """Returns to the system the memory that this process has freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``task`` for ``mapInArrow``, after which its worker gives memory back: workers live on, also idle ones, and would
+    keep the most that any task before needed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores after it as make it new to ``df``."""
     have, out = {c.lower() for c in df.columns}, []

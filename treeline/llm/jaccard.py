@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.llm.arrays import byte_column, mix, spans_of_bytes
-from treeline.llm.common import dropped, fresh, joined_by_group, long_id, sliced, text_or_empty, written
+from treeline.llm.common import dropped, fresh, joined_by_group, long_id, sliced, text_or_empty, tidy, written
 from treeline.llm.components import components
 from treeline.llm.shingles import shingle_sets
 
@@ -47,14 +47,15 @@ WIDTH, PERCENT = 5, 75
 EXTRA, LIGHT = 4, 24
 #: The sketch has a counter for each so many words, within these bounds (as powers of two).
 WORDS_EACH, LEAST_BITS, MOST_BITS = 8, 18, 25
-#: Records of an index partition, counters of a sketch block; pairs of an index partition that are held at once.
-RECORDS, BLOCK, PAIRS = 1_000_000, 1 << 12, 1 << 21
+#: Records of an index partition, and those of it whose pairs are made together; counters of a sketch block; pairs that
+#: are made at a time.
+RECORDS, LISTED, BLOCK, PAIRS = 1_000_000, 250_000, 1 << 12, 1 << 21
 #: Sets of a cluster that are verified together: at most, and tokens of them at most; at least, while a cluster has fewer
 #: blocks than SPREAD.
 MOST_TOGETHER, TOKENS_TOGETHER, LEAST_TOGETHER, SPREAD = 1024, 1 << 21, 64, 32
 #: Sets of a cluster that all its blocks hold.
 HUBS = 16
-STEP, FLUSH = 4 << 20, 600_000
+STEP, FLUSH = 1 << 19, 600_000
 
 RECORD = np.dtype([("key", "<u8"), ("sig", "<u8"), ("n", "<u4"), ("m", "<u2")])
 #: As sent for rare tokens: the part and 41 bits of the key tell tokens apart (those that clash make pairs that are then
@@ -151,7 +152,7 @@ def counted(docs: DataFrame) -> Frequencies:
 
     kind = "block int, counts binary"
     level = np.zeros(width, np.uint8)
-    for r in docs.select("_text").mapInArrow(count, kind).repartition("block").mapInArrow(total, kind).collect():
+    for r in docs.select("_text").mapInArrow(tidy(count), kind).repartition("block").mapInArrow(tidy(total), kind).collect():
         level[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(r["counts"], np.uint8)
     return Frequencies(level)
 
@@ -265,23 +266,18 @@ def indexed(docs: DataFrame, of: Frequencies, size: float) -> DataFrame:
             yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare: list[np.ndarray] = []
+        rare: dict[int, list[bytes]] = {}
         for batch in batches:
             for part, kind, blob in zip(batch.column("part").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
                 if kind == RARE:
-                    sent = np.frombuffer(blob.as_buffer(), SENT)
-                    rows = np.empty(len(sent), RECORD)
-                    rows["key"] = (np.uint64(part) << np.uint64(41)) | (sent["more"] >> 7).astype(np.uint64) << np.uint64(32) | sent["key"]
-                    rows["sig"], rows["n"], rows["m"] = sent["sig"], sent["size"], sent["more"] & 127
-                    rare.append(rows)
+                    rare.setdefault(part, []).append(blob.as_py())  # a copy: it outlives the batch
                 else:
                     rows = np.frombuffer(blob.as_buffer(), RECORD)
                     yield table_of(kind, rows["key"], rows["sig"], rows["n"], rows["n"], rows["m"], np.ones(len(rows)))
-        if rare:
-            yield from rare_pairs(np.concatenate(rare))
+        yield from listed_pairs(rare)
 
-    rows = docs.select("doc_id", "_text").mapInArrow(emit, "part int, kind int, blob binary")
-    return written(rows.repartition(parts, "part").mapInArrow(meet, "kind int, a long, b long, na int, nb int, flag int, c int"), "index")
+    rows = docs.select("doc_id", "_text").mapInArrow(tidy(emit), "part int, kind int, blob binary")
+    return written(rows.repartition(parts, "part").mapInArrow(tidy(meet), "kind int, a long, b long, na int, nb int, flag int, c int"), "index")
 
 
 def table_of(kind: int, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, flag: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
@@ -290,6 +286,30 @@ def table_of(kind: int, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.nda
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["kind", "a", "b", "na", "nb", "flag", "c"])
 
 
+def received(part: int, blob: bytes) -> np.ndarray:
+    """The records of rare tokens as they were before they were sent."""
+    sent = np.frombuffer(blob, SENT)
+    rows = np.empty(len(sent), RECORD)
+    rows["key"] = (np.uint64(part) << np.uint64(41)) | (sent["more"] >> 7).astype(np.uint64) << np.uint64(32) | sent["key"]
+    rows["sig"], rows["n"], rows["m"] = sent["sig"], sent["size"], sent["more"] & 127
+    return rows
+
+
+def listed_pairs(rare: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+    """``rare_pairs`` of what was sent to each part, which holds its tokens' lists whole: some parts at a time, LISTED records
+    or one part, since working memory is several times the records."""
+    some: list[np.ndarray] = []
+    while rare:
+        part, blobs = rare.popitem()
+        rows = np.concatenate([received(part, b) for b in blobs])
+        if some and sum(map(len, some)) + len(rows) > LISTED:
+            yield from rare_pairs(np.concatenate(some))
+            some = []
+        some.append(rows)
+    if some:
+        yield from rare_pairs(np.concatenate(some))
+
+
 def rare_pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The pairs of sets of fitting sizes that meet at a rare token in the smaller one's inner prefix, with how often they
     do in these lists, and how many frequent tokens their prefixes have room for."""
@@ -351,7 +371,7 @@ def bloom(sigs: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "bits"])
 
     kind, out = "block int, bits binary", np.zeros(1 << bits >> 3, np.uint8)
-    for r in sigs.mapInArrow(mark, kind).repartition("block").mapInArrow(both, kind).collect():
+    for r in sigs.mapInArrow(tidy(mark), kind).repartition("block").mapInArrow(tidy(both), kind).collect():
         out[r["block"] * wide // 8 : (r["block"] + 1) * wide // 8] = np.frombuffer(r["bits"], np.uint8)
     return out, bits
 
@@ -375,7 +395,7 @@ def sets_of(docs: DataFrame, sigs: DataFrame) -> DataFrame:
                         names=["sig", "tokens"],
                     )
 
-    found = docs.select("_text").mapInArrow(emit, "sig long, tokens binary").join(sigs, "sig", "left_semi")
+    found = docs.select("_text").mapInArrow(tidy(emit), "sig long, tokens binary").join(sigs, "sig", "left_semi")
     return written(found.groupBy("sig").agg(F.first("tokens").alias("tokens")), "sets")
 
 
@@ -397,7 +417,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("sig").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(check), "a long, b long")
 
 
 class Forest:
@@ -486,7 +506,7 @@ def block_links(rows: DataFrame, keys: list[str]) -> DataFrame:
             yield out()
 
     rows = rows.select(*keys, "sig", "tokens", "comp", "asks")
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "sig").mapInArrow(check, "a long, b long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "sig").mapInArrow(tidy(check), "a long, b long")
 
 
 def blocks_of(count: Column) -> Column:

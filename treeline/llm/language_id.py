@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.llm.arrays import KeyTable, byte_column, spans_of_bytes
-from treeline.llm.common import fold, hashed_unit, long_id, sliced, text_or_empty
+from treeline.llm.common import fold, hashed_unit, long_id, sliced, text_or_empty, tidy
 
 ORDER = 4
 UNIT = 1 << 16
@@ -36,7 +36,8 @@ SAMPLE_CHARS, SAMPLE_TOTAL = 600_000, 16_000_000
 #: A text's confidence is that of so many bytes of it.
 CONFIDENT_BYTES = 64
 UNKNOWN = "und"
-STEP = 1 << 20
+#: Bytes that are looked up together: some 80 bytes of working memory for each.
+STEP = 1 << 18
 
 
 def grams(data: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray:
@@ -182,7 +183,7 @@ def predicted(docs: DataFrame, trees: ContextTrees, keep: list[str]) -> DataFram
             columns = [batch.column(c) for c in keep] + [pa.array(langs, pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
 
-    return rows.mapInArrow(answer, schema)
+    return rows.mapInArrow(tidy(answer), schema)
 
 
 def identified(docs: DataFrame) -> DataFrame:
